@@ -6,12 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, secret_scan
+from . import bpe, chat, line_dedup, mixing, secret_scan, simhash
 from .common import materialize, read
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = materialize(simhash.fingerprints(read(spark, sf_dir, "documents")), "simhash-docs")
+    found = simhash.near_duplicates(marked)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.report(docs, line_dedup.removed(docs))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.sized(read(spark, sf_dir, "documents"))
     return mixing.report(sizes, mixing.mix(sizes))
@@ -35,9 +46,34 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(rows.unionAll(own)))
 
 
-QUERIES = {f.__name__: f for f in (op6_mix_sources, op7_byte_bpe, op8_secret_scan, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_line_dedup, op6_mix_sources, op7_byte_bpe, op8_secret_scan, op9_chat_format)}
 
 ORACLE_SQL = {
+    "op3_line_dedup": r"""
+        with parts as (select doc_id, string_split(coalesce(text, ''), chr(10)) as p from documents),
+        lines as (select doc_id, unnest(p) as line, unnest(range(1, len(p) + 1)) as n from parts),
+        own as (select *, doc_id * 10000000 + n as spot from lines where trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+        one as (select line, length(line) as len, min(spot) as lead from own group by line),
+        pairs as (
+            select a.line as line, a.len as la, b.line as other, b.len as lb, least(a.len, b.len) as m
+            from one a join (select *, unnest([len - 1, len, len + 1]) as near from one) b on a.len = b.near and b.lead < a.lead
+            where greatest(a.len, b.len) >= 5),
+        cut as (
+            select * from pairs
+            where left(line, m // 2) = left(other, m // 2) or right(line, m - m // 2) = right(other, m - m // 2)),
+        near as (
+            select distinct line from cut
+            where case
+                when la = lb then len(list_filter(range(1, la + 1), lambda i: line[i] <> other[i])) = 1
+                when la > lb then len(list_filter(range(1, la + 1), lambda i: left(line, i - 1) || substr(line, i + 1) = other)) > 0
+                else len(list_filter(range(1, lb + 1), lambda i: left(other, i - 1) || substr(other, i + 1) = line)) > 0 end),
+        gone as (
+            select doc_id, n from own join one using (line) left join near on own.line = near.line
+            where spot > lead or near.line is not null),
+        listed as (select doc_id, count(*) as n_removed, string_agg(n, ',' order by n) as removed from gone group by doc_id)
+        select doc_id, cast(len(p) as bigint) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(removed, '') as removed
+        from parts left join listed using (doc_id)
+    """,
     "op9_chat_format": r"""
         with rows as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
