@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, mixing, secret_scan, simhash
+from . import bpe, chat, line_dedup, mixing, quality, secret_scan, simhash
 from .common import materialize, read
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(docs, line_dedup.removed(docs))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.train(docs, read(spark, sf_dir, "labels"))
+    scored = quality.score(docs, net)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.sized(read(spark, sf_dir, "documents"))
     return mixing.report(sizes, mixing.mix(sizes))
@@ -46,7 +53,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(rows.unionAll(own)))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_line_dedup, op6_mix_sources, op7_byte_bpe, op8_secret_scan, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_line_dedup, op4_quality, op6_mix_sources, op7_byte_bpe, op8_secret_scan, op9_chat_format)}
 
 ORACLE_SQL = {
     "op3_line_dedup": r"""
