@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, mixing, quality, secret_scan, simhash
+from . import bpe, chat, knn_voronoi, line_dedup, mixing, quality, secret_scan, simhash, vptree
 from .common import materialize, read
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_voronoi.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = materialize(simhash.fingerprints(read(spark, sf_dir, "documents")), "simhash-docs")
     found = simhash.near_duplicates(marked)
@@ -30,6 +34,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
+def op5_vptree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.sized(read(spark, sf_dir, "documents"))
     return mixing.report(sizes, mixing.mix(sizes))
@@ -53,9 +61,19 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(rows.unionAll(own)))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_line_dedup, op4_quality, op6_mix_sources, op7_byte_bpe, op8_secret_scan, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_voronoi_topk, op2_simhash, op3_line_dedup, op4_quality, op5_vptree_ann, op6_mix_sources, op7_byte_bpe, op8_secret_scan, op9_chat_format)}
 
 ORACLE_SQL = {
+    "op1_voronoi_topk": """
+        with own as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as v from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+            select q.vec_id as query_id, d.vec_id, cast(list_dot_product(q.v, d.v) as bigint) as score
+            from own q join own d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0),
+        ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+        select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
+    """,
     "op3_line_dedup": r"""
         with parts as (select doc_id, string_split(coalesce(text, ''), chr(10)) as p from documents),
         lines as (select doc_id, unnest(p) as line, unnest(range(1, len(p) + 1)) as n from parts),
