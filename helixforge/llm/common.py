@@ -55,3 +55,25 @@ def whole_text(column: str = "text") -> Column:
 def n_buckets(rows: int, each: int) -> int:
     """Buckets of about `each` rows: their number follows the data, not the cluster."""
     return max(1, -(-rows // each))
+
+
+#: A bitmap that goes to all tasks has at most so many bits (8 MB).
+MOST_BITS = 1 << 26
+
+
+def bitmap(keys: DataFrame, key: Column) -> tuple[int, DataFrame]:
+    """A bitmap of the hashes `key` of some rows: its size, which is bounded, and its words.  Two passes over keys."""
+    size = max(1 << 12, min(MOST_BITS, 1 << (16 * max(1, keys.count())).bit_length()))
+    place = F.pmod(key, F.lit(size))
+    words = keys.select(F.floor(place / 64).alias("__w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("__b"))
+    return size, words.groupBy("__w").agg(F.bit_or("__b").alias("__b"))
+
+
+def marked(rows: DataFrame, key: Column, bits: tuple[int, DataFrame]) -> DataFrame:
+    """rows with hit: false where no key of the bitmap has the row's hash `key`; true for all that have, and for some more."""
+    size, words = bits
+    place = F.pmod(key, F.lit(size))
+    own = rows.withColumn("__p", place).withColumn("__w", F.floor(F.col("__p") / 64))
+    both = own.join(F.broadcast(words), "__w", "left")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("__p") % 64).cast("int"))
+    return both.withColumn("hit", F.coalesce(F.col("__b").bitwiseAND(bit) != 0, F.lit(False))).drop("__w", "__p", "__b")

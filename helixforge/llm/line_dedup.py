@@ -21,12 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_text
+from .common import bitmap, marked, materialize, whole_text
 
 SEGMENT = 256
 LEAST = 5  # one edit is at most a fifth of so many code points
-#: bits of the bitmap that keeps lines without a partner out of the shuffle of texts
-MOST_BITS = 1 << 26
 
 
 def _hash2(line: Column) -> list[Column]:
@@ -64,13 +62,9 @@ def _with_partners(items: DataFrame, key: str) -> DataFrame:
 
 
 def _texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """l1, l2 of some distinct lines -> l1, l2, line.  A bitmap of their hashes, bounded by MOST_BITS bits, goes to all tasks
-    and keeps most other lines from the shuffle; the join after it is exact."""
-    size = max(1 << 12, min(MOST_BITS, 1 << (16 * max(1, lines.count())).bit_length()))
-    place = F.pmod("l1", F.lit(size))
-    bitmap = lines.select(F.floor(place / 64).alias("w"), F.expr(f"shiftleft(1L, int(pmod(l1, {size}L) % 64))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    every = _lines(docs).select("line", *_hash2(F.col("line"))).withColumn("w", F.floor(place / 64))
-    near = every.join(F.broadcast(bitmap), "w").where(F.expr(f"(b & shiftleft(1L, int(pmod(l1, {size}L) % 64))) <> 0"))
+    """l1, l2 of some distinct lines -> l1, l2, line.  A bitmap of their hashes, of bounded size, goes to all tasks and
+    keeps most other lines from the shuffle; the join after it is exact."""
+    near = marked(_lines(docs).select("line", *_hash2(F.col("line"))), F.col("l1"), bitmap(lines, F.col("l1"))).where("hit")
     return near.select("l1", "l2", "line").join(lines.select("l1", "l2"), ["l1", "l2"], "left_semi").groupBy("l1", "l2").agg(F.first("line").alias("line"))
 
 
