@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, knn_voronoi, line_dedup, mixing, quality, secret_scan, simhash, vptree
+from . import bpe, chat, knn_voronoi, line_dedup, mixing, quality, secret_scan, simhash, suffix_dedup, vptree
 from .common import materialize, read
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -61,7 +61,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(rows.unionAll(own)))
 
 
-QUERIES = {f.__name__: f for f in (op1_voronoi_topk, op2_simhash, op3_line_dedup, op4_quality, op5_vptree_ann, op6_mix_sources, op7_byte_bpe, op8_secret_scan, op9_chat_format)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.report(docs, suffix_dedup.spans(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_voronoi_topk, op2_simhash, op3_line_dedup, op4_quality, op5_vptree_ann, op6_mix_sources, op7_byte_bpe, op8_secret_scan, op9_chat_format, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op1_voronoi_topk": """
@@ -117,4 +122,21 @@ ORACLE_SQL = {
             cast(sum(upto) filter (where role = 'assistant' or i = last) as bigint) as formatted_chars
         from summed group by conv_id
     """,
+    "op10_suffix_dedup": """
+        with texts as (select doc_id, hex(encode(coalesce(text, ''))) as t from documents),
+        starts as (select doc_id, t, unnest(range(0, greatest(0, length(t) // 2 - 99))) as p from texts),
+        strings as (select doc_id, p, md5(substr(t, 2 * p + 1, 200)) as s from starts),
+        lead as (select s, min(doc_id * 100000000 + p) as least from strings group by s having count(*) > 1),
+        again as (select doc_id, p from strings join lead using (s) where doc_id * 100000000 + p > least),
+        parted as (select doc_id, p, case when p - lag(p) over w <= 100 then 0 else 1 end as fresh from again window w as (partition by doc_id order by p)),
+        numbered as (select doc_id, p, sum(fresh) over (partition by doc_id order by p) as run from parted),
+        runs as (select doc_id, run, min(p) as a, max(p) + 100 as b from numbered group by doc_id, run),
+        pieces as (
+            select doc_id, a, substr(t, 2 * prev + 1, 2 * (a - prev)) as piece, a as lo, b as hi
+            from (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as prev from runs) join texts using (doc_id)),
+        kept as (select doc_id, string_agg(piece, '' order by a) as head, max(hi) as last, sum(hi - lo) as n_removed, count(*) as n_spans from pieces group by doc_id)
+        select doc_id, cast(length(t) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+            sha256(unhex(coalesce(head, '') || substr(t, 2 * coalesce(last, 0) + 1))) as kept_sha256
+        from texts left join kept using (doc_id)
+    """,
 }
