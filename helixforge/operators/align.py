@@ -32,7 +32,8 @@ def _matrix(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def best_shifts(a: np.ndarray, la: np.ndarray, c: np.ndarray, lc: np.ndarray, min_overlap: np.ndarray, max_error_rate: float):
     """Shift, overlap, mismatches and validity for each row of a and c.  All rows are tried with one shift after another."""
     n = len(a)
-    best = np.full(n, np.iinfo(np.int64).max)
+    none = np.int64(2**62)
+    best = np.full(n, none)
     shift, overlap, ops = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
     low, high = -int((lc - min_overlap).max(initial=0)), int((la - min_overlap).max(initial=0))
     for s in sorted(range(low, high + 1), key=lambda s: (abs(s), s)):
@@ -44,7 +45,7 @@ def best_shifts(a: np.ndarray, la: np.ndarray, c: np.ndarray, lc: np.ndarray, mi
         width = min(a.shape[1] - first, c.shape[1] - max(0, -s))
         x, y = a[:, first : first + width], c[:, max(0, -s) : max(0, -s) + width]
         same = ((x == y) & (x != 0)).sum(1, dtype=np.int32)
-        cost = np.where(may, (own - same) + (la - own) + (lc - own), np.iinfo(np.int64).max)
+        cost = np.where(may, ((own - same) + (la - own) + (lc - own)).astype(np.int64), none)
         better = cost < best
         best[better], shift[better], overlap[better], ops[better] = cost[better], s, own[better], (own - same)[better]
     valid = (overlap > 0) & (ops <= np.float64(max_error_rate) * overlap)

@@ -43,6 +43,7 @@ class Options:
     correct_candidates: bool = False
     new_columns_to_correct: int = 15
     neighbor_region: int = 5
+    min_column_coverage: int = 3  #: rows of a column that may change a letter of an anchor of lower quality
     max_edits: int = 16
     refine_passes: int = 5
     paired_filter_threshold: float = 0.06

@@ -135,7 +135,7 @@ TABLES: dict[str, str | list[tuple[str, str]]] = {
     "many": "select anchor_id, col, letter, ratio from (select *, count(*) over (partition by anchor_id, col) as c from shares where n >= 2 and ratio >= 0.3::double) where c >= 2",
     "near": "select anchor_id, col, anchor_base, consensus, coverage, min(support) over (partition by anchor_id order by col range between 5 preceding and 5 following) as near from supported where anchor_base is not null",
     "anchors": """select anchor_id as read_id, is_hq,
-            string_agg(case when is_hq or (near > 0.82 - 1e-5 and coverage > 1.8) then consensus else anchor_base end, '' order by col) as sequence
+            string_agg(case when is_hq or (near > 0.82 - 1e-5 and coverage >= 3) then consensus else anchor_base end, '' order by col) as sequence
         from near join judged using (anchor_id) group by anchor_id, is_hq""",
     "others": f"""select cand_id as read_id, anchor_id, case orientation when 1 then s else reverse(translate(s, 'ACGT', 'TGCA')) end as sequence
         from (select r.anchor_id, r.cand_id, r.orientation, string_agg(c.consensus, '' order by c.col) as s
