@@ -32,7 +32,7 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 S_END, S_LETTER, S_NUMBER, S_OTHER, S_JOINED, S_LAST, S_WHITE, S_QUOTE1, S_QUOTE2 = range(9)
 # states: X a match has ended; A N O inside a run; P a blank that the next run takes; W white space; Q1, Q2 letters to come
 X, A, N, O, P, W, Q1, Q2 = range(8)
-STATES, BLOCK, CHUNK = 8, 256, 1 << 20
+STATES, BLOCK, CHUNK = 8, 256, 1 << 18
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +138,7 @@ def slices(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
 class Codec:
     """Ranks of a vocabulary file (token in base64, rank) to ids and back."""
 
-    def __init__(self, content: bytes, cache: int = 400_000) -> None:
+    def __init__(self, content: bytes, cache: int = 250_000) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
         self.tokens = {v: k for k, v in self.ranks.items()}
         self.cache: dict[str, bytes] = {}  # slice: its ids, four bytes each

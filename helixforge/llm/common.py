@@ -2,49 +2,31 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixforge import ship
+from helixforge import storage
 
-_made: list[tuple[SparkSession, str]] = []
+#: rows of a batch that goes to Python: some megabytes of documents
+BATCH_ROWS = 2_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="helixforge-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+def ready(spark: SparkSession) -> None:
+    """Ships the code, and makes batches of whole texts small, unless the session says otherwise."""
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended: the folder's owner cleans up
-            return
+    ready(df.sparkSession)
+    return storage.materialize(df, tag)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

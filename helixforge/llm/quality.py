@@ -29,7 +29,7 @@ VOCABULARY, DIMENSIONS, NONZERO, WINDOW = 1 << 14, 32, 4, 2
 MOST_LABELLED = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 128, 3e-3, 1e-3
 ACCEPT = 0.7
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 
 words_of = re.compile(r"\w+|[^\w\s]+").findall
 
@@ -47,7 +47,7 @@ class Slots(dict):
     """word -> slot; forgets all when it is full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         slot = self[word] = zlib.crc32(word.encode()) % VOCABULARY
         return slot
