@@ -33,6 +33,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from .common import bitmap, marked, materialize, n_buckets
 LENGTH, GRAM, STRIDE = 100, 24, 25
 #: distinct runs in a bin, in a shard of a bin, and of one anchor
 BIN, SHARD, MOST = 16_384, 2_048, 16_384
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BITS = 28
@@ -136,8 +137,44 @@ def _documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def _changes(columns: list[np.ndarray], before: tuple | None) -> np.ndarray:
+    """Where one of the columns differs from the row before (before: the row before the first, if there is one)."""
+    out = np.zeros(len(columns[0]), bool)
+    out[0] = before is None or any(c[0] != x for c, x in zip(columns, before))
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _own(new_run: np.ndarray, new_row: np.ndarray, carried: bool) -> np.ndarray:
+    """In sorted rows, those at the place where their run first occurs (several, if a document is there several times).
+    carried: whether the row before the first was such a one."""
+    moved = np.cumsum(new_row & ~new_run)
+    start = np.flatnonzero(new_run)
+    if len(start) and start[0] == 0:
+        base = np.zeros(0, np.int64)
+    else:
+        base = np.full(start[0] if len(start) else len(new_run), 0 if carried else -1)
+    base = np.concatenate([base, np.repeat(moved[start], np.diff(np.append(start, len(new_run))))]) if len(start) else base
+    return moved == base
+
+
+def _again(h: np.ndarray, c: np.ndarray, doc: np.ndarray, dh: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of a chunk: which equal an earlier one elsewhere, and which stand for their place (not a repeated row's)."""
+    again, keep = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    if len(h):
+        order = np.lexsort((a, dh, doc, c, h))
+        h, c, *place = (x[order] for x in (h, c, doc, dh, a))
+        new_run = _changes([h, c], None)
+        new_row = new_run | _changes(place, None)
+        again[order], keep[order] = ~_own(new_run, new_row, False), new_row
+    return again, keep
+
+
 def runs(documents: DataFrame) -> DataFrame:
-    """doc, dh, bytes -> h, c, doc, dh, a, b: every run of windows a..b with the hashes of its anchor and of itself."""
+    """doc, dh, bytes -> h, c, doc, dh, a, b, again: every run of windows a..b with the hashes of its anchor and of itself.
+    Runs that equal an earlier one of the same chunk are known to be repeated before the shuffle: they are marked, and their
+    h is a hash of their place, so that a run that is repeated very often does not meet in one task."""
 
     def run(batches):
         for batch in batches:
@@ -148,12 +185,17 @@ def runs(documents: DataFrame) -> DataFrame:
                 d, a, b, h, c = runs_of(np.frombuffer(b"".join(texts), np.uint8), firsts, ends)
                 own = pa.array(d + at)
                 at += len(texts)
+                doc, dh = batch.column(0).take(own), batch.column(1).take(own)
+                again, keep = _again(h, c, doc.to_numpy(), dh.to_numpy(), a)
+                h, c, a, b, again = (x[keep] for x in (h, c, a, b, again))
+                doc, dh = doc.filter(pa.array(keep)), dh.filter(pa.array(keep))
+                place = mixed((doc.to_numpy() ^ dh.to_numpy()).view(np.uint64) + a.astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(c), batch.column(0).take(own), batch.column(1).take(own), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))],
-                    names=["h", "c", "doc", "dh", "a", "b"],
+                    [pa.array(np.where(again, place, h)), pa.array(c), doc, dh, pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(again)],
+                    names=["h", "c", "doc", "dh", "a", "b", "again"],
                 )
 
-    return documents.mapInArrow(run, "h long, c long, doc long, dh long, a int, b int")
+    return documents.mapInArrow(run, "h long, c long, doc long, dh long, a int, b int, again boolean")
 
 
 def meet(found: DataFrame) -> DataFrame:
@@ -162,26 +204,31 @@ def meet(found: DataFrame) -> DataFrame:
     ordered = found.repartition("h").sortWithinPartitions("h", "c", "doc", "dh", "a")
 
     def run(batches):
-        last_h = last_c = held = None
+        last_h = last_run = last_place = held = None
+        carried = False
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            known = batch.filter(batch.column(6))
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.nulls(known.num_rows, pa.int64()), *(known.column(i) for i in (2, 3, 4, 5))], names=["h", "doc", "dh", "a", "b"])
+            batch = batch.filter(pc.invert(batch.column(6)))
+            if not batch.num_rows:
                 continue
-            h, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new_h = np.concatenate([[last_h is None or h[0] != last_h], h[1:] != h[:-1]])
-            new_c = new_h | np.concatenate([[last_c is None or c[0] != last_c], c[1:] != c[:-1]])
+            h, c, *place = (batch.column(i).to_numpy() for i in range(5))
+            new_h = _changes([h], last_h)
+            new_c = new_h | _changes([h, c], last_run)
+            own = _own(new_c, new_c | _changes(place, last_place), carried)
             reps = np.flatnonzero(new_c)
             again = ~new_h[reps]  # not the first distinct run of its anchor
             go = again.copy()
             go[:-1] |= again[1:]
-            parts = [(batch, np.flatnonzero(~new_c), False), (batch, reps[go], True)]
+            parts = [(batch, np.flatnonzero(~own), False), (batch, reps[go], True)]
             if held is not None and len(reps):
                 if again[0]:
                     parts.append((held, np.array([0]), True))
                 held = None
             if len(reps) and not go[-1]:
                 held = batch.slice(int(reps[-1]), 1)
-            last_h, last_c = h[-1], c[-1]
+            last_h, last_run, last_place, carried = (h[-1],), (h[-1], c[-1]), tuple(x[-1] for x in place), bool(own[-1])
             for rows, at, named in parts:
                 if len(at):
                     some = [rows.column(i).take(pa.array(at)) for i in (2, 3, 4, 5)]
