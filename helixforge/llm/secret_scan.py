@@ -22,9 +22,14 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the runs of AKIA[A-Z0-9]+ with 20 or more characters: runs are greedy and maximal
 HEX = r"[0-9a-f]{24,}"  # likewise the runs of [0-9a-f]+ with 24 or more
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_]{7,}(?![A-Za-z0-9+/_=-])"
 KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIDE = len(ALPHABET) + 1  # the last class holds every other character, and the token's begin
+#: transitions of one token that count in full
+FULL_WEIGHT = 64.0
+#: weight of a character's own share against the transitions seen
+BACK_OFF = 8.0
 #: log-likelihood ratio per transition, in nats, from which a token counts as random
 THRESHOLD = 0.4
 
@@ -81,16 +86,12 @@ def transitions(token: Column) -> Column:
 
 
 def train(samples: DataFrame) -> list[float]:
-    """token, random (boolean) -> the table of log ratios, SIDE * SIDE numbers.  Counts are aggregated over all samples;
-    what reaches the driver is at most 2 * SIDE * SIDE sums."""
-    counts = (
-        samples.where(F.length("token") > 0)
-        .select(F.col("random").cast("boolean").alias("random"), F.explode(transitions(F.col("token"))).alias("i"))
-        .where(F.col("random").isNotNull())
-        .groupBy("random", "i")
-        .count()
-        .collect()
-    )
+    """token, random (boolean) -> the table of log ratios, SIDE * SIDE numbers.  Distinct tokens count once, and the
+    transitions of one longer than FULL_WEIGHT weigh as much as FULL_WEIGHT together, so that no one token makes the model.
+    What reaches the driver is at most 2 * SIDE * SIDE sums."""
+    once = samples.select("token", F.col("random").cast("boolean").alias("random")).where((F.length("token") > 0) & F.col("random").isNotNull()).distinct()
+    each = once.select("random", F.least(F.lit(1.0), F.lit(FULL_WEIGHT) / F.length("token")).alias("w"), F.explode(transitions(F.col("token"))).alias("i"))
+    counts = each.groupBy("random", "i").agg(F.sum("w").alias("count")).collect()
     table = {True: [0.0] * (SIDE * SIDE), False: [0.0] * (SIDE * SIDE)}
     for r in counts:
         table[r["random"]][r["i"]] = float(r["count"])
@@ -98,11 +99,14 @@ def train(samples: DataFrame) -> list[float]:
         return [0.0] * (SIDE * SIDE)
 
     def logs(t: list[float]) -> list[float]:
+        """Transitions, backed off to the characters' own shares: what a row has not seen is as likely as the character is."""
+        share = [sum(t[b::SIDE]) + 0.5 for b in range(SIDE)]
+        share = [x / sum(share) for x in share]
         out = []
         for a in range(SIDE):
             row = t[a * SIDE : (a + 1) * SIDE]
-            total = sum(row) + 0.5 * SIDE
-            out += [math.log((x + 0.5) / total) for x in row]
+            total = sum(row) + BACK_OFF
+            out += [math.log((x + BACK_OFF * p) / total) for x, p in zip(row, share, strict=True)]
         return out
 
     return [a - b for a, b in zip(logs(table[True]), logs(table[False]), strict=True)]
@@ -117,12 +121,12 @@ def score(token: Column, ratios: list[float]) -> Column:
 
 def labelled_samples(docs: DataFrame, spanned: DataFrame, sample_docs: int = 4000) -> DataFrame:
     """Labelled tokens: values in base spans are random strings, words of 8 letters or more are ordinary identifiers.  The
-    random ones come from every document; the ordinary ones, which outnumber them, from the `sample_docs` documents with
-    the smallest hash of their id (the bound of the fit)."""
+    random ones come from every document; the ordinary ones, which outnumber them, from the `sample_docs` documents without
+    a base span that have the smallest hash of their id (the bound of the fit)."""
     value = F.when(F.col("b.k") == 0, F.regexp_extract("b.s", ASSIGN, 2)).otherwise(F.col("b.s"))
     random = spanned.select(F.explode("base").alias("b")).select(value.alias("token"), F.lit(True).alias("random"))
-    few = docs.select(F.col("doc_id").alias("few")).orderBy(F.xxhash64("few"), "few").limit(sample_docs).distinct()
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z_]{7,}"), F.lit(0)))
+    few = spanned.where(F.size("base") == 0).select(F.col("doc_id").alias("few")).orderBy(F.xxhash64("few"), "few").limit(sample_docs).distinct()
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     ordinary = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("few"), "left_semi").select(F.explode(words).alias("token"), F.lit(False).alias("random"))
     return random.unionAll(ordinary)
 
