@@ -34,7 +34,11 @@ def _code(s: str, k: int) -> str:
 
 
 def _murmur_step(x: str, c: int) -> str:
-    return f"cast((cast({x} as uhugeint) * {c}::uhugeint) % 18446744073709551616::uhugeint as ubigint)"
+    """x * c modulo 2^64 from halves of 32 bits, none of whose products overflow."""
+    m, low, high = "4294967295::ubigint", f"({c & 0xFFFFFFFF}::ubigint)", f"({c >> 32}::ubigint)"
+    xl, xh = f"({x} & {m})", f"({x} >> 32)"
+    upper = f"(((({xl} * {low}) >> 32) + (({xl} * {high}) & {m}) + (({xh} * {low}) & {m})) & {m})"
+    return f"({upper} * 4294967296::ubigint + (({xl} * {low}) & {m}))"
 
 
 def _murmur(columns: dict[str, str], source: str, keep: str) -> list[tuple[str, str]]:
