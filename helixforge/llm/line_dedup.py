@@ -25,6 +25,7 @@ from .common import bitmap, marked, materialize, whole_text
 
 SEGMENT = 256
 LEAST = 5  # one edit is at most a fifth of so many code points
+HOT = 4096
 
 
 def _hash2(line: Column) -> list[Column]:
@@ -128,8 +129,15 @@ def removed(docs: DataFrame) -> DataFrame:
     distinct = found.groupBy("l1", "l2").agg(F.min(at).alias("first"), F.count("*").alias("cnt"), F.first("keys").alias("keys"))
     distinct = materialize(distinct, "lines-distinct")
     near = _near(docs, distinct.select("l1", "l2", "first", "keys")).select("l1", "l2", F.lit(True).alias("near"))
-    marked = distinct.select("l1", "l2", "first", "cnt").join(near, ["l1", "l2"], "left").where("cnt > 1 or near")
-    hit = found.select("doc_id", "h", "n", "l1", "l2").join(marked, ["l1", "l2"]).where(F.coalesce("near", F.lit(False)) | (F.col("first") < at))
+    flagged = distinct.select("l1", "l2", "first", "cnt").join(near, ["l1", "l2"], "left").where("cnt > 1 or near")
+    flagged = materialize(flagged.select("l1", "l2", "first", "cnt", F.coalesce("near", F.lit(False)).alias("near")), "lines-marked")
+    # lines with over one in HOT of all rows are at most HOT lines, and go to all tasks; so no line's rows meet in one
+    least = max(1, found.count() // HOT)
+    hot = flagged.where(F.col("cnt") > least).select("l1", "l2", F.col("first").alias("hot_first"), F.col("near").alias("hot_near"))
+    rows = found.select("doc_id", "h", "n", "l1", "l2").join(F.broadcast(hot), ["l1", "l2"], "left")
+    common = rows.where(F.col("hot_first").isNotNull() & (F.col("hot_near") | (F.col("hot_first") < at)))
+    rest = rows.where("hot_first is null").join(flagged.where(F.col("cnt") <= least), ["l1", "l2"]).where(F.col("near") | (F.col("first") < at))
+    hit = common.select("doc_id", "h", "n").unionAll(rest.select("doc_id", "h", "n"))
     return hit.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("n")).alias("lines"))
 
 
