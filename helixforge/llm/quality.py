@@ -197,10 +197,11 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Network:
     """docs: doc_id, text; labels: doc_id, quality.  Learns from labelled rows that are not held out, at most `most`.  A
     document with several labels counts with the largest."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     vectors = word_vectors(*gather(docs))
     own = labels.select("doc_id", "quality").where("quality is not null").where(~held_out(F.col("doc_id")))
     few = own.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    few = few.select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("quality"))
+    few = few.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("quality"))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches):
