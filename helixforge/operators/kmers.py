@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixforge.functions import hashing
@@ -32,32 +34,80 @@ def spectrum(counts: DataFrame) -> DataFrame:
     return counts.groupBy("n").agg(F.count("*").alias("n_kmers"))
 
 
-def _masked_min(x: Column, mask: int) -> Column:
-    """The least of unsigned hashes, of which the low bits stay."""
-    return hashing.flip(F.min(hashing.flip(x))).bitwiseAND(F.lit(mask).cast("long"))
-
-
-def _hashed(kmers: DataFrame, functions: int, first: int) -> DataFrame:
-    return hashing.murmur64(kmers, {f"h{i}": hashing.add64(F.col("code"), first + i) for i in range(functions)})
+_CODES = np.full(256, 4, np.uint8)
+_CODES[[ord(c) for c in "ACGT"]] = range(4)
+_HASH = [np.uint64(c) for c in (hashing.C1, hashing.C2)]
+
+
+def _canonical_codes(letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes 0 to 3 of letters (4: another letter, or between reads) -> the place of every k-mer without a 4, and its canonical
+    code.  Codes of longer strings are put together from those of shorter ones, on both strands."""
+    bad = np.concatenate([[0], np.cumsum(letters == 4)])
+    n = len(letters) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    single = (letters & 3).astype(np.uint64)
+    size, f, r = 1, single, np.uint64(3) - single  # strings of `size` letters at each place
+    done, ff, rr = 0, None, None  # what of k is put together
+    left = k
+    while True:
+        if left & 1:
+            if ff is None:
+                ff, rr, done = f, r, size
+            else:
+                m = len(f) - done
+                ff, rr = ff[:m] << np.uint64(2 * size) | f[done : done + m], rr[:m] | r[done : done + m] << np.uint64(2 * done)
+                done += size
+        left >>= 1
+        if not left:
+            break
+        m = len(f) - size
+        f, r = f[:m] << np.uint64(2 * size) | f[size:], r[:m] | r[size:] << np.uint64(2 * size)
+        size *= 2
+    at = np.flatnonzero(bad[k : k + n] == bad[:n])
+    return at, np.minimum(ff[at], rr[at])
+
+
+def _murmur(x: np.ndarray) -> np.ndarray:
+    s = np.uint64(33)
+    for c in _HASH:
+        x = (x ^ (x >> s)) * c
+    return x ^ (x >> s)
+
+
+def _sketched(reads: DataFrame, k: int, functions: int, mask: int, first: int, window: int | None) -> DataFrame:
+    """read_id, window_id, keys: the least hashes of each read's (window's) k-mers.  Map-only: reads stay where they are, and
+    no k-mer becomes a row."""
+
+    def run(batches):
+        for batch in batches:
+            parts = [(s or "").encode() for s in batch.column(1).to_pylist()]
+            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            begin = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64)
+            at, codes = _canonical_codes(_CODES[np.frombuffer(b"\n".join(parts), np.uint8)], k)
+            read = np.searchsorted(begin, at, side="right") - 1
+            part = (at - begin[read]) // (window - k + 1) if window else np.zeros(len(at), np.int64)
+            head = np.flatnonzero(np.concatenate([[True], (np.diff(read) != 0) | (np.diff(part) != 0)])) if len(at) else at
+            least = [np.minimum.reduceat(_murmur(codes + np.uint64(first + i)), head) if len(at) else codes for i in range(functions)]
+            keys = (np.stack(least, axis=1) & np.uint64(mask & (2**64 - 1))).view(np.int64).ravel()
+            offsets = np.arange(0, len(keys) + 1, functions, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(read[head])), pa.array(part[head].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(keys))], names=["read_id", "window_id", "keys"]
+            )
+
+    found = reads.select(F.col("read_id").cast("long").alias("read_id"), "sequence").mapInArrow(run, "read_id long, window_id int, keys array<long>")
+    return found.select("read_id", "window_id", F.posexplode("keys").alias("i", "key")).select("read_id", "window_id", (F.col("i") + first).alias("map_id"), "key")
 
 
 def minhash(reads: DataFrame, k: int, functions: int, mask: int, first: int = 0) -> DataFrame:
     """read_id, map_id, key: for each hash function the least hash over a read's k-mers, masked afterwards.  Reads shorter
     than k, and reads without a k-mer of the four letters, are not sketched."""
-    hashed = _hashed(canonical_kmers(reads, k), functions, first)
-    least = hashed.groupBy("read_id").agg(*[_masked_min(F.col(f"h{i}"), mask).alias(f"h{i}") for i in range(functions)])
-    return least.select("read_id", F.posexplode(F.array(*[f"h{i}" for i in range(functions)])).alias("map_id", "key")).select("read_id", (F.col("map_id") + first).alias("map_id"), "key")
+    return _sketched(reads, k, functions, mask, first, None).drop("window_id")
 
 
 def minhash_windowed(reads: DataFrame, k: int, window: int, functions: int, mask: int, first: int = 0) -> DataFrame:
     """read_id, window_id, map_id, key: windows of window - k + 1 successive k-mers; none if k is over the window."""
-    if k > window:
-        return minhash(reads.limit(0), k, functions, mask, first).select("read_id", F.lit(0).alias("window_id"), "map_id", "key")
-    each = window - k + 1
-    kmers = canonical_kmers(reads, k).withColumn("window_id", F.floor((F.col("pos") - 1) / each).cast("int"))
-    least = _hashed(kmers, functions, first).groupBy("read_id", "window_id").agg(*[_masked_min(F.col(f"h{i}"), mask).alias(f"h{i}") for i in range(functions)])
-    both = least.select("read_id", "window_id", F.posexplode(F.array(*[f"h{i}" for i in range(functions)])).alias("map_id", "key"))
-    return both.select("read_id", "window_id", (F.col("map_id") + first).alias("map_id"), "key")
+    return _sketched(reads if k <= window else reads.limit(0), k, functions, mask, first, max(k, window))
 
 
 def bottom_sketch(reads: DataFrame, k: int, n: int) -> DataFrame:

@@ -48,8 +48,9 @@ def columns(built: DataFrame, use_quality: bool = False) -> DataFrame:
         *[F.count_if(F.col("base") == b).cast("int").alias(f"n_{b.lower()}") for b in BASES],
         *[F.sum(F.when(F.col("base") == b, F.col("w")).otherwise(0)).alias(f"w_{b.lower()}") for b in BASES],
         F.count("*").cast("int").alias("coverage"),
-        F.max(F.when(is_anchor, F.col("base"))).alias("anchor_base"),
+        F.max(F.when(is_anchor, F.ascii("base"))).alias("anchor_code"),  # a number, so that rows are hashed and not sorted
     )
+    sums = sums.withColumn("anchor_base", F.chr("anchor_code")).drop("anchor_code")
     w = {b: F.col(f"w_{b.lower()}") for b in BASES}
     top = F.greatest(*w.values())
     consensus = F.coalesce(*[F.when(w[b] == top, F.lit(b)) for b in BASES])

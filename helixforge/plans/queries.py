@@ -15,6 +15,7 @@ from helixforge.operators import reads as R
 from helixforge.options import Options
 from helixforge.plans import correction
 from helixforge.sources import reads as S
+from helixforge.storage import spread
 
 OPTIONS = Options(kmer_length=20, hash_functions=4, estimated_coverage=3.0, correct_candidates=True)
 WINDOW, SKETCH = 50, 8
@@ -39,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def perfect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.perfect(table(spark, sf_dir, "documents"))
+    return S.perfect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def original(spark: SparkSession, sf_dir: str) -> DataFrame:

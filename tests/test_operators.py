@@ -48,19 +48,21 @@ def test_minhash_windowed_and_bottom_sketch(spark, k):
     random.seed(k)
     seqs = [dna(60), dna(45), dna(k), dna(k - 1)]
     seqs.append(rc(seqs[0]))
+    seqs += [dna(k) + "N" + dna(k + 12), "N" * 70, ""]
     reads, mask = frame(spark, seqs), (1 << 2 * k) - 1
-    codes = [[code(s[i : i + k]) for i in range(len(s) - k + 1)] for s in seqs]
+    codes = [{i: code(s[i : i + k]) for i in range(len(s) - k + 1) if "N" not in s[i : i + k]} for s in seqs]
     got = {(r.read_id, r.map_id): r.key for r in kmers.minhash(reads, k, 3, Options(kmer_length=k).kmer_mask, first=1).collect()}
-    want = {(i, f): signed(min(murmur((x + f) % 2**64) for x in c) & mask) for i, c in enumerate(codes) for f in (1, 2, 3) if c}
+    want = {(i, f): signed(min(murmur((x + f) % 2**64) for x in c.values()) & mask) for i, c in enumerate(codes) for f in (1, 2, 3) if c}
     assert got == want
     assert [got[0, f] for f in (1, 2, 3)] == [got[4, f] for f in (1, 2, 3)]  # strands look alike
     window = k + 9
     got = {(r.read_id, r.window_id, r.map_id): r.key for r in kmers.minhash_windowed(reads, k, window, 2, Options(kmer_length=k).kmer_mask).collect()}
-    assert got == {(i, w, f): signed(min(murmur((x + f) % 2**64) for x in c[w * 10 : w * 10 + 10]) & mask) for i, c in enumerate(codes) for w in range(-(-len(c) // 10)) for f in (0, 1)}
+    windows = {(i, p // 10) for i, c in enumerate(codes) for p in c}
+    assert got == {(i, w, f): signed(min(murmur((x + f) % 2**64) for p, x in codes[i].items() if p // 10 == w) & mask) for i, w in windows for f in (0, 1)}
     assert kmers.minhash_windowed(reads, k, k - 1, 2, 1).count() == 0
     sketch = {r.read_id: r.sketch for r in kmers.bottom_sketch(reads, k, 8).collect()}
     for i, c in enumerate(codes):
-        hs = sorted({murmur(x) for x in c})
+        hs = sorted({murmur(x) for x in c.values()})
         assert sketch[i] == [signed(h) for h in (hs[:8] if len(hs) >= 8 else [*hs, 2**64 - 1])]
 
 
