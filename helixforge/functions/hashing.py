@@ -62,3 +62,23 @@ def murmur64(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 def flip(x: Column) -> Column:
     """Longs whose signed order is the unsigned order of x; its own inverse."""
     return x.bitwiseXOR(F.lit(-(2**63)).cast("long"))
+
+
+def murmur32(x: Column) -> Column:
+    """The 32-bit finalizer, of and as a long from 0 to 2^32 - 1.  Products are taken from 16-bit limbs."""
+
+    def multiply(v: Column, c: int) -> Column:
+        return _low(v * F.lit(c & 0xFFFF).cast("long") + F.shiftleft(_low(v * F.lit(c >> 16).cast("long")).bitwiseAND(F.lit(0xFFFF)), 16))
+
+    v = _low(x)
+    v = multiply(v.bitwiseXOR(F.shiftrightunsigned(v, 16)), 0x85EBCA6B)
+    v = multiply(v.bitwiseXOR(F.shiftrightunsigned(v, 13)), 0xC2B2AE35)
+    return v.bitwiseXOR(F.shiftrightunsigned(v, 16))
+
+
+def shift_left(limbs: Column, n: int) -> Column:
+    """An array of 32-bit limbs (longs, the highest first) shifted left by n bits; zeros come in from the right."""
+    whole, part = divmod(n, 32)
+    at = lambda i: F.coalesce(F.get(limbs, i), F.lit(0).cast("long"))
+    moved = lambda _, i: _low(F.shiftleft(at(i + whole), part)).bitwiseOR(F.shiftrightunsigned(at(i + whole + 1), 32 - part) if part else F.lit(0).cast("long"))
+    return F.transform(limbs, moved)

@@ -45,3 +45,25 @@ def flagged(df: DataFrame, group: str, order: list[str], flag) -> DataFrame:
 def first_ids(df: DataFrame, n: int, key: str = "read_id") -> DataFrame:
     """Rows with an id below n (0: all): the same rows on every run."""
     return df.where(F.col(key) < n) if n else df
+
+
+def scatter(rows: DataFrame, updates: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with the value of updates where there is one (keys of updates differ)."""
+    new = updates.select(key, F.col(value).alias("__new"))
+    return rows.join(new, key, "left").withColumn(value, F.coalesce("__new", value)).drop("__new")
+
+
+def members(rows: DataFrame, ids: DataFrame, key: str, out: str = "member") -> DataFrame:
+    """rows with whether their key is in a set of ids, as a bit array would tell."""
+    some = ids.select(key).distinct().withColumn(out, F.lit(True))
+    return rows.join(some, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
+def strided(rows: DataFrame, key: str, factor: int, skip: int = 0) -> DataFrame:
+    """Rows from the id `skip` on, with the group that `factor` successive ids share."""
+    return rows.where(F.col(key) >= skip).withColumn("part", F.floor((F.col(key) - skip) / factor))
+
+
+def hash_sample(rows: DataFrame, rate: float, *columns: str, seed: int = 42) -> DataFrame:
+    """The rows whose hash of some columns is in the first `rate` of all hashes: the same on every run and layout."""
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1_000_000)) < round(rate * 1_000_000))

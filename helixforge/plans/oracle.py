@@ -234,6 +234,19 @@ def oracles() -> dict[str, str]:
             f"""select read_id, list_aggregate(list_transform(range(1, {READ + 1}), lambda i: chr(33 + least(40, least(3, (ascii(quality[i]) - 33) // 11) * 11 + 5))), 'string_agg', '') as quality from original""",
         ),
         "murmur64": "with " + ",\n".join(f"{n} as ({b})" for n, b in _murmur({"h": "o_orderkey"}, "orders", "o_orderkey")) + " select o_orderkey, " + _SIGNED.format("h") + " as h from m5",
+        "murmur32": """with a as (select o_orderkey, cast(o_orderkey as ubigint) & 4294967295::ubigint as x from orders),
+            b as (select o_orderkey, (xor(x, x >> 16) * 2246822507::ubigint) & 4294967295::ubigint as x from a),
+            c as (select o_orderkey, (xor(x, x >> 13) * 3266489909::ubigint) & 4294967295::ubigint as x from b)
+            select o_orderkey, cast(xor(x, x >> 16) as bigint) as h from c""",
+        # as one number of 96 bits
+        "shifted_bits": """with n as (select o_orderkey, ((cast(o_orderkey as uhugeint) * 18446744073709551616::uhugeint + cast(o_custkey as uhugeint) * 4294967296::uhugeint
+                + cast(o_orderkey + o_custkey as uhugeint)) % 576460752303423488::uhugeint) * 137438953472::uhugeint as x from orders)
+            select o_orderkey, cast(x // 18446744073709551616::uhugeint as bigint) as a, cast((x // 4294967296::uhugeint) % 4294967296::uhugeint as bigint) as b,
+                cast(x % 4294967296::uhugeint as bigint) as c from n""",
+        "scattered_rows": """select o_orderkey as k, coalesce(v, round(o_totalprice, 2)) as v
+            from orders left join (select l_orderkey, sum(l_quantity) as v from lineitem group by l_orderkey) on l_orderkey = o_orderkey""",
+        "bit_members": "select c_custkey, exists (select 1 from orders where o_custkey = c_custkey) as member from customer",
+        "strided_ids": "select (o_orderkey - 100) // 32 as part, count(*) as n, min(o_orderkey) as least from orders where o_orderkey >= 100 group by 1",
         "canonical_kmers": over("true_kmers", "select read_id, count(*) as n, min(code) as least, max(code) as largest from true_kmers group by read_id"),
         "kmer_counts": over("true_kmers", "select code, count(*) as n from true_kmers group by code"),
         "kmer_spectrum": over("true_kmers", "select n, count(*) as n_kmers from (select code, count(*) as n from true_kmers group by code) group by n"),

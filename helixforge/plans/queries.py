@@ -138,6 +138,19 @@ def murmur64(spark, sf_dir):
     return hashing.murmur64(rows, {"h": F.col("o_orderkey")})
 
 
+@query
+def murmur32(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", hashing.murmur32(F.col("o_orderkey")).alias("h"))
+
+
+@query
+def shifted_bits(spark, sf_dir):
+    """Three limbs made of a line's keys, shifted left by 37 bits."""
+    x = table(spark, sf_dir, "orders").select("o_orderkey", F.array("o_orderkey", "o_custkey", F.col("o_orderkey") + F.col("o_custkey")).alias("limbs"))
+    out = hashing.shift_left(F.col("limbs"), 37)
+    return x.select("o_orderkey", out[0].alias("a"), out[1].alias("b"), out[2].alias("c"))
+
+
 # --- k-mers and sketches ---
 
 
@@ -238,6 +251,27 @@ def flagged_select(spark, sf_dir):
     return found.select("l_orderkey", "l_partkey", "l_linenumber", F.col("place").cast("long").alias("place"), F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def scattered_rows(spark, sf_dir):
+    """Order prices, overwritten by the sums of their lines where there are lines."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.round("o_totalprice", 2).alias("v"))
+    sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_quantity").alias("v"))
+    return primitives.scatter(rows, sums, "k", "v")
+
+
+@query
+def bit_members(spark, sf_dir):
+    """Whether a customer has an order."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey")
+    return primitives.members(rows, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query
+def strided_ids(spark, sf_dir):
+    own = primitives.strided(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 32, 100)
+    return own.groupBy("part").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("least"))
+
+
 # --- alignment ---
 
 

@@ -324,3 +324,40 @@ def test_rounds_of_tables(spark, corrected):
 def test_autodetected_k(spark):
     assert kmers.autodetect_k(frame(spark, ["ACGT"])) == 16
     assert kmers.autodetect_k(frame(spark, ["ACGT"] * 3), 2, 8) == 6
+
+
+def test_limbs_shift_like_one_number(spark):
+    from helixforge.functions import hashing
+
+    rng = random.Random(6)
+    rows = [[rng.getrandbits(32) for _ in range(3)] for _ in range(20)]
+    df = spark.createDataFrame([(r,) for r in rows], "x array<bigint>")
+    for n in (0, 1, 31, 32, 33, 64, 95, 96, 200):
+        for r, got in zip(rows, df.select(hashing.shift_left(F.col("x"), n)).collect()):
+            want = ((r[0] << 64 | r[1] << 32 | r[2]) << n) % 2**96
+            assert got[0] == [want >> 64, want >> 32 & 0xFFFFFFFF, want & 0xFFFFFFFF]
+
+
+def test_scatter_members_strides_and_samples(spark):
+    rows = spark.createDataFrame([(1, 10), (2, None), (3, 30)], "k long, v long")
+    new = spark.createDataFrame([(2, 5), (3, None)], "k long, v long")
+    assert sorted(tuple(r) for r in primitives.scatter(rows, new, "k", "v").collect()) == [(1, 10), (2, 5), (3, 30)]
+    assert {r.k: r.member for r in primitives.members(rows, new.unionAll(new), "k").collect()} == {1: False, 2: True, 3: True}
+    assert sorted((r.k, r.part) for r in primitives.strided(rows, "k", 2, 2).collect()) == [(2, 0), (3, 0)]
+    many = spark.range(10_000)
+    a, b = primitives.hash_sample(many, 0.1, "id"), primitives.hash_sample(many.repartition(7), 0.1, "id")
+    assert 850 < a.count() < 1150 and a.exceptAll(b).isEmpty()
+
+
+def test_own_code_by_batch_range_and_table_function(spark):
+    import pandas as pd
+
+    from helixforge.operators import extension
+
+    reads = frame(spark, ["ACGT", "AC"])
+    out = extension.map_reads(reads, lambda b: pd.DataFrame({"n": b["sequence"].str.len()}), "n long")
+    assert sorted(r.n for r in out.collect()) == [2, 4]
+    squares = extension.map_range(spark, 3, 6, lambda ids: pd.DataFrame({"x": ids * ids}), "x long", 2)
+    assert sorted(r.x for r in squares.collect()) == [9, 16, 25]
+    extension.register_functions(spark)
+    assert [tuple(r) for r in spark.sql("select * from kmer_rows('ACGT', 3)").collect()] == [(1, "ACG"), (2, "CGT")]

@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SOME = """read_stats read_length_hist format_probe ambiguous_reads exclude_ambiguous read_range gather_reads revcomp encode_2bit quality_weight quality_from_weight
     requantized_quality murmur64 kmer_spectrum minhash_windowed bottom_n_sketch paired_candidates prefix_offsets segment_ids adjacent_unique flagged_select
     filtered_candidates msa_consensus candidate_corrections sort_merge_output eval_metrics union_inputs forest_score forest_decide lost_kmers kmers_in_genome
-    last_wins common_samples required_samples frontier frontier_global""".split()
+    murmur32 shifted_bits scattered_rows bit_members strided_ids last_wins common_samples required_samples frontier frontier_global""".split()
 
 
 def plain(v):

@@ -129,3 +129,16 @@ def test_stream_is_counted_and_corrected(spark, tmp_path):
     q.stop()
     assert spark.sql("select sum(n) from counts").first()[0] == 20 * 49
     assert minhash(index, 12, 1, -1).count() == 200
+
+
+def test_files(spark, tmp_path):
+    from helixforge.sources import files
+
+    a, b, c = (f"file://{tmp_path}/{n}" for n in "abc")
+    (tmp_path / "a").write_text("x\ny\nz\n")
+    assert files.can_open(spark, a) and files.size(spark, a) == 6 and files.line_count(spark, a) == 3
+    files.copy(spark, a, b)
+    files.rename(spark, b, c)
+    assert not files.can_open(spark, b) and files.size(spark, c) == 6
+    assert files.remove(spark, c) and not files.remove(spark, c)
+    assert files.temporary(spark) != files.temporary(spark) and not files.can_open(spark, files.temporary(spark))
