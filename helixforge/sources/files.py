@@ -9,37 +9,42 @@ from pyspark.sql import SparkSession
 from helixforge.storage import shared_dir
 
 
-def _at(spark: SparkSession, path: str):
+def locate(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = locate(spark, path)
+    return bool(fs.exists(p))
+
+
 def can_open(spark: SparkSession, path: str) -> bool:
-    p, fs = _at(spark, path)
+    p, fs = locate(spark, path)
     return bool(fs.exists(p)) and not fs.getFileStatus(p).isDirectory()
 
 
 def size(spark: SparkSession, path: str) -> int:
-    p, fs = _at(spark, path)
+    p, fs = locate(spark, path)
     return int(fs.getContentSummary(p).getLength())
 
 
 def rename(spark: SparkSession, path: str, to: str) -> None:
-    p, fs = _at(spark, path)
-    if not fs.rename(p, _at(spark, to)[0]):
+    p, fs = locate(spark, path)
+    if not fs.rename(p, locate(spark, to)[0]):
         raise OSError(f"{path} can't be renamed to {to}")
 
 
 def copy(spark: SparkSession, path: str, to: str) -> None:
-    p, fs = _at(spark, path)
-    q, other = _at(spark, to)
+    p, fs = locate(spark, path)
+    q, other = locate(spark, to)
     spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, other, q, False, spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def remove(spark: SparkSession, path: str) -> bool:
     """Whether there was something to remove."""
-    p, fs = _at(spark, path)
+    p, fs = locate(spark, path)
     return bool(fs.delete(p, True))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixforge.functions.sequence import has_ambiguous
+from helixforge.sources import files
 
 READ, SPAN = 100, 1 << 20  #: length of derived reads; ids that a document has at most
 GENOME_EVERY = 4
@@ -23,7 +24,7 @@ def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     its lines, and the counts of a file's splits, of which there are few, give where a split begins."""
     parts = []
     for i, path in enumerate(paths):
-        rows = spark.read.text(path).select(F.lit(i).alias("file"), F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("split"), "value")
+        rows = _text(spark, path).select(F.lit(i).alias("file"), "part", "split", "value")
         parts.append(rows)
     every = parts[0]
     for p in parts[1:]:
@@ -40,13 +41,39 @@ def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def is_gzip(spark: SparkSession, path: str) -> bool:
     """By the first two bytes, not by the name."""
-    row = spark.read.format("binaryFile").load(path).select(F.hex(F.substring("content", 1, 2)).alias("magic")).first()
-    return bool(row) and row["magic"] == "1F8B"
+    p, fs = files.locate(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        return False
+    stream = fs.open(p)
+    try:
+        return [stream.read(), stream.read()] == [0x1F, 0x8B]
+    finally:
+        stream.close()
+
+
+def _text(spark: SparkSession, path: str) -> DataFrame:
+    """part, split, value.  A gzip file whose name does not say so is inflated by one task (it could not be split anyway)."""
+    if path.endswith(".gz") or not files.exists(spark, path) or not is_gzip(spark, path):
+        return spark.read.text(path).select(F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("split"), "value")
+
+    def inflate(batches):
+        import gzip
+        import io
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with gzip.open(io.BytesIO(content), "rt", newline="\n") as lines:
+                    while some := [line.rstrip("\n") for _, line in zip(range(50_000), lines)]:
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array([0] * len(some), pa.int64()), pa.array(some)], names=["part", "split", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(inflate, "part string, split long, value string")
 
 
 def has_quality(spark: SparkSession, path: str) -> bool:
     """Whether the first five records have qualities; mixed records are an error, an empty file has none."""
-    first = [r["value"] for r in spark.read.text(path).limit(20).collect() if r["value"]]
+    first = [r["value"] for r in _text(spark, path).limit(20).collect() if r["value"]]
     kinds = {line[0] for line in first[:1]}
     if not kinds:
         return False
