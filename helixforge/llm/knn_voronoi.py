@@ -86,12 +86,15 @@ def search(rows: DataFrame, is_query: Column, k: int, scale: float = 256.0) -> D
     if not len(pivots):
         pivots = np.zeros((1, width))
     space = Space(pivots, m2)
+    kind = np.int16 if m2 <= 32767.0**2 else np.float64  # what is shuffled; products are taken in doubles
+    size = np.dtype(kind).itemsize
 
     def assign(batches):
         for batch in batches:
-            d = space.data(vectors.matrix(batch.column(1).to_pylist(), width))
+            x = vectors.matrix(batch.column(1).to_pylist(), width)
+            d = space.data(x)
             cell = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=["vec_id", "v", "cell", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=["vec_id", "v", "cell", "d"])
 
     placed = materialize(own.select("vec_id", "v").mapInArrow(assign, "vec_id long, v binary, cell int, d double"), "knn-cells")
     # sums of the cells: sizes, and the k + 1 smallest distances, of shares of a cell first
@@ -105,14 +108,14 @@ def search(rows: DataFrame, is_query: Column, k: int, scale: float = 256.0) -> D
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         sort = np.lexsort((part["vec_id"], part["d"]))
-        x = vectors.matrix(part["v"], width)[sort]
+        x = vectors.matrix(part["v"], width, kind)[sort].astype(kind)
         return pd.DataFrame([{"cell": part["cell"].iloc[0], "piece": part["piece"].iloc[0], "d": part["d"].to_numpy()[sort], "ids": part["vec_id"].to_numpy(np.int64)[sort].tobytes(), "x": x.tobytes()}])
 
     def group(part: pd.DataFrame) -> pd.DataFrame:
-        q, ids = vectors.matrix(part["v"], width), part["vec_id"].to_numpy(np.int64)
+        q, ids = vectors.matrix(part["v"], width, kind), part["vec_id"].to_numpy(np.int64)
         low, high = rings(space, q, near, k)
         need = np.flatnonzero(low <= high)
-        return pd.DataFrame({"g": part["g"].iloc[0], "cell": need.astype(np.int32), "low": low[need], "high": high[need], "q_ids": ids.tobytes(), "q": q.tobytes()})
+        return pd.DataFrame({"g": part["g"].iloc[0], "cell": need.astype(np.int32), "low": low[need], "high": high[need], "q_ids": ids.tobytes(), "q": q.astype(kind).tobytes()})
 
     by_piece = F.pmod(F.xxhash64("vec_id"), F.get(F.array(*[F.lit(int(p)) for p in pieces]), F.col("cell"))).cast("int")
     packed = placed.withColumn("piece", by_piece).groupBy("cell", "piece").applyInPandas(pack, "cell int, piece int, d array<double>, ids binary, x binary")
@@ -125,8 +128,8 @@ def search(rows: DataFrame, is_query: Column, k: int, scale: float = 256.0) -> D
     first = F.size(F.filter("d", lambda d: d < F.col("low")))
     count = F.size(F.filter("d", lambda d: (d >= F.col("low")) & (d <= F.col("high"))))
     sent = sent.select("g", "cell", "piece", "ids", "x", first.alias("a"), count.alias("c")).where("c > 0")
-    cut = lambda column, size: F.substr(F.col(column), F.col("a") * size + 1, F.col("c") * size).alias(column)
-    sent = sent.select("g", "cell", "piece", cut("ids", 8), cut("x", 8 * width), F.lit(None).cast("binary").alias("q_ids"), F.lit(None).cast("binary").alias("q"))
+    cut = lambda column, n: F.substr(F.col(column), F.col("a") * n + 1, F.col("c") * n).alias(column)
+    sent = sent.select("g", "cell", "piece", cut("ids", 8), cut("x", size * width), F.lit(None).cast("binary").alias("q_ids"), F.lit(None).cast("binary").alias("q"))
     table = F.get(F.array(*[F.lit(int(p)) for p in pieces]), F.col("cell"))
     asks = needs.select("g", "cell", F.explode(F.sequence(F.lit(0), table - 1)).alias("piece"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("x"), "q_ids", "q")
 
@@ -135,7 +138,8 @@ def search(rows: DataFrame, is_query: Column, k: int, scale: float = 256.0) -> D
         for ask in pair[pair["q"].notna()].itertuples():
             for piece in pair[pair["x"].notna()].itertuples():
                 q_ids, ids = np.frombuffer(ask.q_ids, np.int64), np.frombuffer(piece.ids, np.int64)
-                s = np.frombuffer(ask.q).reshape(-1, width) @ np.frombuffer(piece.x).reshape(-1, width).T
+                q, x = (np.frombuffer(m, kind).astype(np.float64).reshape(-1, width) for m in (ask.q, piece.x))
+                s = q @ x.T
                 s[q_ids[:, None] == ids] = -np.inf
                 take = vectors.best(s, ids, k)
                 score = np.take_along_axis(s, take, 1)

@@ -38,9 +38,9 @@ def clean(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     return found.groupBy("vec_id").agg(F.min(F.struct("v", "n2")).alias("x")).select("vec_id", "x.v", "x.n2")
 
 
-def matrix(column, width: int) -> np.ndarray:
-    """Rows of bytes as a matrix; shorter vectors are as if zeros followed."""
-    parts = [np.frombuffer(x, np.float64) for x in column]
+def matrix(column, width: int, kind: type = np.float64) -> np.ndarray:
+    """Rows of bytes as a matrix of doubles; shorter vectors are as if zeros followed.  kind: what the bytes hold."""
+    parts = [np.frombuffer(x, kind).astype(np.float64) for x in column]
     if all(len(p) == width for p in parts):
         return np.concatenate(parts).reshape(-1, width) if parts else np.zeros((0, width))
     out = np.zeros((len(parts), width))
