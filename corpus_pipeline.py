@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from helixforge.llm import bpe, line_dedup, mixing, quality, simhash
+from helixforge.llm import bpe, line_dedup, mixing, near_copies, quality
 from helixforge.llm.common import materialize, read
 from helixforge.llm.queries import BPE_FILE
 
@@ -23,8 +23,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies."""
-    return simhash.keep_one(docs)
+    """One document, that of the smallest doc_id, of each group of near copies: SimHash at two bits, and five-word shingles with
+    a similarity of 0.8 or more."""
+    return near_copies.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

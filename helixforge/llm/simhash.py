@@ -178,7 +178,11 @@ def keep_one(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame:
     """The documents of which no smaller doc_id is in their group; columns as in docs.  Rows that repeat a doc_id and text are
     one document, and one of them stays."""
     marked = materialize(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), ("doc_id", "h"), width), "simhash-docs")
-    first = near_duplicates(marked, bits).groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("k"))
+    return keep_keys(docs, near_duplicates(marked, bits).groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("k")))
+
+
+def keep_keys(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The documents that first names, k: (doc_id, hash of the text), each once."""
     first = first.select(F.col("k.doc_id").alias("__k_id"), F.col("k.h").alias("__k_h"))
     own = docs.withColumn("__h", F.xxhash64("text"))
     kept = own.join(first, own["doc_id"].eqNullSafe(first["__k_id"]) & (own["__h"] == first["__k_h"]), "left_semi")
