@@ -29,6 +29,26 @@ def over(name: str, select: str) -> str:
     return _chain(*_needs(name)) + select
 
 
+def _refined(name: str, select: str) -> str:
+    """As over, with five passes between the rows and what is made of them: each drops the candidates that cover the first
+    significant column of their anchor with another letter than the anchor's."""
+    passes = []
+    for i in range(5):
+        passes += [
+            (f"seen{i}", f"""select anchor_id, col, base, count(*) as n, sum(count(*)) over (partition by anchor_id, col) as coverage
+                from (select anchor_id, shift + i - 1 as col, sequence[i] as base from (select *, unnest(range(1, {READ + 1})) as i from rows{i})) where col between 0 and {READ - 1} group by anchor_id, col, base"""),
+            (f"first{i}", f"""select anchor_id, min(col) as at from (select anchor_id, col from seen{i} where n >= 2 and n / coverage >= 0.3::double
+                group by anchor_id, col having count(*) >= 2) group by anchor_id"""),
+            (f"rows{i + 1}", f"""select r.* from rows{i} r join (select anchor_id, sequence as own from rows{i} where cand_id is null) using (anchor_id) left join first{i} f using (anchor_id)
+                where r.cand_id is null or f.at is null or f.at < r.shift or f.at >= r.shift + {READ} or r.sequence[f.at - r.shift + 1] = own[f.at + 1]"""),
+        ]
+    out = []
+    for part in _needs(name):
+        named = TABLES[part] if isinstance(TABLES[part], list) else [(part, TABLES[part])]
+        out += [("rows0", named[0][1]), *passes, ("rows", "select * from rows5")] if part == "rows" else named
+    return "with " + ",\n".join(f"{n} as materialized ({b})" for n, b in out) + "\n" + select
+
+
 def _code(s: str, k: int) -> str:
     return " + ".join(f"(instr('ACGT', substr({s}, {i + 1}, 1)) - 1) * {4 ** (k - 1 - i)}::bigint" for i in range(k))
 
@@ -312,6 +332,8 @@ def oracles() -> dict[str, str]:
         ),
         "apply_edits": over("anchors", "select read_id, coalesce(a.sequence, o.sequence) as sequence from original o left join anchors a using (read_id)"),
         "corrected_reads": over("corrected", "select read_id, sequence, q from corrected"),
+        "refined_msa": _refined("columns", "select anchor_id, col, n_a, n_c, n_g, n_t, w_a, w_c, w_g, w_t, coverage, consensus from columns"),
+        "refined_corrections": _refined("corrected", "select read_id, sequence, q from corrected"),
         "read_flags": over("anchors", "select read_id, case when is_hq then 1 when is_hq is null then 2 else 0 end as flag from original left join anchors using (read_id)"),
         "sort_merge_output": over("corrected", "select read_id, 'read ' || read_id || ' correction:q=' || q as header, c.sequence, o.quality from original o join corrected c using (read_id) order by read_id"),
         "union_inputs": over(

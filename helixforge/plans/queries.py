@@ -409,6 +409,18 @@ def corrected_reads(spark, sf_dir):
     return _corrected(spark, sf_dir)
 
 
+@query
+def refined_msa(spark, sf_dir):
+    """Columns after candidates of other regions are dropped, pass after pass."""
+    return correction.steps(original(spark, sf_dir), OPTIONS).columns.select(*COLUMNS)
+
+
+@query
+def refined_corrections(spark, sf_dir):
+    """Corrected reads as the engine makes them by default: with refinement."""
+    return correction.corrected(original(spark, sf_dir), OPTIONS)
+
+
 @query
 def read_flags(spark, sf_dir):
     s = _steps(spark, sf_dir)
