@@ -159,6 +159,9 @@ def link(distinct: DataFrame, bits: int = 2) -> DataFrame:
     mask = F.expr("~(shiftleft(1L, i) | shiftleft(1L, j))")
     two = hot.select("fp", F.explode(F.sequence(F.lit(1), F.lit(63))).alias("i")).select("fp", "i", F.explode(F.sequence(F.lit(0), i - 1)).alias("j"))
     met2 = two.groupBy(i, j, F.col("fp").bitwiseAND(mask).alias("v")).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    if bits < 2:  # what meets differs in two bits at most
+        both = met2.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b")).where("a < b")
+        return edges.unionAll(both.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).distinct())
     stars = met2.select(F.element_at("fps", 1).alias("a"), F.explode(F.slice("fps", F.lit(2), F.lit(3))).alias("b"))
     return edges.unionAll(stars.distinct())
 
