@@ -41,6 +41,28 @@ def planes(s: Column) -> tuple[Column, Column]:
     return high, low
 
 
+def _pieces(s: Column, size: int) -> Column:
+    """A sequence cut into pieces of `size` letters; an empty one has none."""
+    n = F.ceil(F.length(s) / size).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substr(s, i * size + 1, F.lit(size)))).otherwise(F.when(n == 0, F.array().cast("array<string>")))
+
+
+def encode_all(s: Column) -> Column:
+    """A sequence of any length as longs, one for each 32 letters.  Null if another letter occurs."""
+    return F.when(~has_ambiguous(s), F.transform(_pieces(s, 32), encode))
+
+
+def decode_all(codes: Column, length: Column) -> Column:
+    """The sequence of `length` letters that encode_all made the codes of."""
+    return F.array_join(F.transform(codes, lambda c, i: F.substr(decode(c, 32), F.lit(33) - F.least(F.lit(32), length - i * 32), F.lit(32))), "")
+
+
+def distance_all(a: Column, b: Column) -> Column:
+    """Hamming distance of two sequences of one length, whatever it is, from the planes of their pieces."""
+    each = F.zip_with(_pieces(a, 64), _pieces(b, 64), lambda x, y: plane_distance(planes(x), planes(y)).cast("int"))
+    return F.aggregate(each, F.lit(0), lambda n, x: n + x)
+
+
 def plane_distance(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     """Hamming distance of two sequences of one length from their planes."""
     return F.bit_count(a[0].bitwiseXOR(b[0]).bitwiseOR(a[1].bitwiseXOR(b[1])))

@@ -242,6 +242,16 @@ def oracles() -> dict[str, str]:
             + " + ".join(f"(instr('ACGT', substr(sequence, {i + 1}, 1)) - 1)::uhugeint * {4 ** (31 - i)}::uhugeint" for i in range(32))
             + " as u from perfect)",
         ),
+        "encode_whole": over(
+            "perfect",
+            "select read_id, concat_ws(',', "
+            + ", ".join(
+                _SIGNED.format("(" + " + ".join(f"(instr('ACGT', sequence[{at + i + 1}]) - 1)::uhugeint * {4 ** (n - 1 - i)}::uhugeint" for i in range(n)) + ")")
+                for at in range(0, READ, 32)
+                for n in [min(32, READ - at)]
+            )
+            + ") as codes, sequence as decoded, cast(hamming(sequence, reverse(translate(sequence, 'ACGT', 'TGCA'))) as integer) as distance from perfect",
+        ),
         "quality_weight": over(
             "original",
             f"""select q, count(*) as n, round(pow(10::double, -(ascii(q) - 33) / 10.0::double), 9) as p, round(greatest(0.001::double, 1 - pow(10::double, -(ascii(q) - 33) / 10.0::double)), 9) as w

@@ -114,6 +114,15 @@ def encode_2bit(spark, sf_dir):
     return perfect(spark, sf_dir).select("read_id", code.alias("code"), sequence.decode(code, 32).alias("decoded"), sequence.plane_distance(sequence.planes(a), sequence.planes(b)).cast("int").alias("distance"))
 
 
+@query
+def encode_whole(spark, sf_dir):
+    """Whole reads as longs and back, and the planes' distance to their reverse complements."""
+    own = F.col("sequence")
+    coded = perfect(spark, sf_dir).withColumn("codes", sequence.encode_all(own))
+    listed = F.array_join(F.transform("codes", lambda c: c.cast("string")), ",")
+    return coded.select("read_id", listed.alias("codes"), sequence.decode_all(F.col("codes"), F.length(own)).alias("decoded"), sequence.distance_all(own, sequence.reverse_complement(own)).alias("distance"))
+
+
 @query
 def quality_weight(spark, sf_dir):
     """Weights of the quality characters that occur, with their numbers."""
