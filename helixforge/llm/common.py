@@ -44,8 +44,12 @@ MOST_BITS = 1 << 26
 
 
 def bitmap(keys: DataFrame, key: Column) -> tuple[int, DataFrame]:
-    """A bitmap of the hashes `key` of some rows: its size, which is bounded, and its words.  Two passes over keys."""
-    size = max(1 << 12, min(MOST_BITS, 1 << (16 * max(1, keys.count())).bit_length()))
+    """A bitmap of the hashes `key` of some rows: its size, which is bounded, and its words.  Two passes over keys.  With more
+    keys than MOST_BITS it would spare nothing, and there is none (size 0)."""
+    many = keys.count()
+    if many > MOST_BITS:
+        return 0, keys
+    size = max(1 << 12, min(MOST_BITS, 1 << (16 * max(1, many)).bit_length()))
     place = F.pmod(key, F.lit(size))
     words = keys.select(F.floor(place / 64).alias("__w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("__b"))
     return size, words.groupBy("__w").agg(F.bit_or("__b").alias("__b"))
@@ -54,8 +58,24 @@ def bitmap(keys: DataFrame, key: Column) -> tuple[int, DataFrame]:
 def marked(rows: DataFrame, key: Column, bits: tuple[int, DataFrame]) -> DataFrame:
     """rows with hit: false where no key of the bitmap has the row's hash `key`; true for all that have, and for some more."""
     size, words = bits
+    if not size:
+        return rows.withColumn("hit", F.lit(True))
     place = F.pmod(key, F.lit(size))
     own = rows.withColumn("__p", place).withColumn("__w", F.floor(F.col("__p") / 64))
     both = own.join(F.broadcast(words), "__w", "left")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("__p") % 64).cast("int"))
     return both.withColumn("hit", F.coalesce(F.col("__b").bitwiseAND(bit) != 0, F.lit(False))).drop("__w", "__p", "__b")
+
+
+#: A key with over one in HOT of all rows is common: there are at most HOT such keys, and they go to all tasks.
+HOT = 4096
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], total: int, n: str = "n") -> DataFrame:
+    """The inner join of rows with counted, which has each key once and in n how many rows have it; total is the sum of n.
+    Rows of common keys stay where they are, so no key's rows meet in one task."""
+    least = max(1, total // HOT)
+    common = counted.where(F.col(n) > least)
+    stay = rows.join(F.broadcast(common), on)
+    go = rows.join(F.broadcast(common.select(*on)), on, "left_anti").join(counted.where(F.col(n) <= least), on)
+    return stay.unionByName(go)

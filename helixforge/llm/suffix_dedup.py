@@ -3,23 +3,27 @@
 A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a document of smaller doc_id, or earlier in
 the same one.  Strings lie within a document and are judged on the input.
 
-Which suffixes are merged.  Every string of LENGTH bytes (a window) belongs to the one of its GRAM-byte strings with the
-least hash, the leftmost of equal ones; equal windows have equal anchors at equal places.  The windows of an anchor
-follow one another, so a document is a list of (anchor, run of windows).  Runs are shuffled by the hash of the anchor.  A
-run that equals an earlier one byte for byte is repeated whole; an anchor with one distinct run only has nothing to merge.
-The distinct runs of all other anchors are what is sorted, in bins of whole anchors.
-
-How they are merged.  A bin is cut into shards.  Each shard sorts its own suffixes and keeps, in that order, the symbol
-before each suffix: its transform, taken STRIDE bytes at a time, so that a window is LENGTH / STRIDE symbols.  The merge
-never compares suffixes again.  It starts with the shards' suffixes one after another, as if no symbol were known, and
-refines this interleave once per symbol: reading the transforms in the order of the interleave, every suffix is moved,
-in order, to the place of the symbol before it.  After each round the interleave is sorted by one symbol more, and a
-neighbour that the round did not part has that symbol in common: so the common prefixes come out of the refinement, and
-what is still together after the last round is an interval of equal windows.  In each, all but the earliest are repeated.
-Symbols are 64-bit hashes of their bytes (any fixed order of symbols will do).
-
-An anchor with more than MOST distinct runs would fill a bin: its windows are counted one by one by a 128-bit hash, with
-partial sums before the shuffle, which is exact for any number of them.
+Which suffixes meet.  Every string of LENGTH bytes (a window) belongs to the one of its GRAM-byte strings with the least
+hash, the leftmost of equal ones; equal windows have equal anchors at equal places.  The windows of an anchor follow one
+another, so a document is a list of runs of windows, each with its anchor.  A run whose anchor no other run has cannot
+repeat and is left out.  That is all that hashes decide: which suffixes are merged, never which are repeated.  The others
+go, with their bytes, to bins of whole anchors.
+
+How they are merged.  A bin is cut into shards.  Each shard sorts the suffixes of its strings, a sentinel after each string,
+and keeps the byte before each suffix in that order: its Burrows-Wheeler transform.  From then on no suffixes are compared
+or sorted.  The merge starts with the shards' suffixes one shard after another, as if no byte were known, and refines this
+interleave byte by byte: reading the transforms in the order of the interleave, each suffix hands its place to the one that
+is longer by the byte before it, and these are counted out by that byte, in order (one pass with a bucket for each byte,
+the last-to-first step).  After round n the interleave is in the order of the first n bytes, and two neighbours that the
+rounds have not parted have n bytes in common.  A suffix that is parted from both its neighbours has no longer prefix in
+common with any other and leaves; what is still together after LENGTH rounds is an interval of equal windows, and all but
+the earliest are repeated.
+
+How it is spread.  Each task first merges the runs of a chunk of its own documents whose anchors meet there, so that of
+copies in a chunk one goes on.  Anchors with over MOST runs are merged in parts of about MOST, what the parts leave is
+merged again, and where that no longer shrinks (many different texts around one common phrase), windows with one hash
+of the whole window meet instead of runs with one anchor.  A part that is repeated stays repeated: it has an earlier equal
+window, and the earliest of all is never dropped.
 
 Defined results: a null text is empty; rows that repeat a doc_id and a text are one document, and each gets its result;
 documents that share a doc_id come in the order of their texts' hashes, a null doc_id first; documents shorter than
@@ -29,25 +33,26 @@ LENGTH keep all; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, marked, materialize, n_buckets
+from .common import bitmap, join_counted, marked, materialize, n_buckets, ready
 
-LENGTH, GRAM, STRIDE = 100, 24, 25
-#: distinct runs in a bin, in a shard of a bin, and of one anchor
-BIN, SHARD, MOST = 16_384, 2_048, 16_384
+LENGTH, GRAM = 100, 24
+#: runs in a bin, in a shard of a bin, and of one anchor in one task
+BIN, SHARD, MOST = 8_192, 512, 8_192
 CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BITS = 28
 _LOW = np.uint64((1 << _BITS) - 1)
 _FIRST = -(2**63)
+_RUN = "h long, doc long, dh long, a int, b int"
 
 
 class Hashes:
@@ -66,9 +71,6 @@ class Hashes:
         self.back[0] = 1
         np.cumprod(self.back, out=self.back)
 
-    def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[first]) * self.back[first])
-
     def grams(self, size: int) -> np.ndarray:
         n = len(self.sums) - size
         return mixed((self.sums[size:] - self.sums[:n]) * self.back[:n])
@@ -92,42 +94,151 @@ def least_in(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(buffer: np.ndarray, firsts: np.ndarray, ends: np.ndarray):
-    """Documents at firsts..ends of one buffer -> for each run its document, first and last window (in the document), hash of
-    the anchor, and hash of the run."""
+    """Pieces at firsts..ends of one buffer -> for each run its piece, first and last window (in the buffer), and the hash of
+    its anchor."""
     none = np.zeros(0, np.int64)
     if len(buffer) < LENGTH:
-        return none, none, none, none, none
-    hashes = Hashes(buffer)
-    grams = hashes.grams(GRAM)
+        return none, none, none, none
+    grams = Hashes(buffer).grams(GRAM)
     place = np.arange(len(grams), dtype=np.uint64)
     anchor = (least_in((grams & ~_LOW) | place, LENGTH - GRAM + 1) & _LOW).astype(np.int64)
-    doc = np.searchsorted(ends, np.arange(len(anchor)), side="right")
-    valid = np.arange(len(anchor)) + LENGTH <= ends[np.minimum(doc, len(ends) - 1)]
-    valid &= doc < len(ends)
-    at = np.flatnonzero(valid)
+    piece = np.searchsorted(ends, np.arange(len(anchor)), side="right")
+    at = np.flatnonzero(np.arange(len(anchor)) + LENGTH <= ends[np.minimum(piece, len(ends) - 1)])
     if not len(at):
-        return none, none, none, none, none
-    new = np.concatenate([[True], (np.diff(anchor[at]) != 0) | (np.diff(doc[at]) != 0)])
+        return none, none, none, none
+    new = np.concatenate([[True], (np.diff(anchor[at]) != 0) | (np.diff(piece[at]) != 0)])
     first = at[new]
     last = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
-    own, d = anchor[first], doc[first]
-    shape = ((own - first) << 8 | (last - own + 128)).astype(np.uint64)  # where the anchor lies in the run
-    run = mixed(hashes.of(first, last + LENGTH) ^ shape * _BASE)
-    return d, first - firsts[d], last - firsts[d], grams[own].view(np.int64), run.view(np.int64)
+    return piece[first], first, last, grams[anchor[first]].view(np.int64)
+
+
+# --- transforms and their merge ---
+
+
+class Shard(NamedTuple):
+    """before: the transform, a byte (plus one; zero is the sentinel) for each suffix in order.  longer: the place, in that
+    order, of the suffix that is longer by that byte.  ends: the places where windows end.  window: for each place the number of
+    the window that starts there (as if windows of all strings were numbered on)."""
+
+    before: np.ndarray
+    longer: np.ndarray
+    ends: np.ndarray
+    window: np.ndarray
+
+
+def sorted_suffixes(t: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The suffixes of t, each up to its sentinel (zero, `left` bytes on), in order; equal ones by their place.  The first
+    seven bytes are compared as one number; then what is tied is ranked by ranks, over twice as many bytes each time."""
+    n, known = len(t), 7
+    own = t.astype(np.uint64) << np.uint64(54)
+    key, more = own.copy(), t[:-1] != 0
+    for _ in range(known - 1):
+        key[:-1] = own[:-1] | (key[1:] >> np.uint64(9)) * more
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # the place of the first of equal ones
+    at = np.flatnonzero(~_alone(new))
+    longest = int(left.max()) + 1 if n else 0
+    while len(at):
+        p = order[at]
+        on = np.where(left[p] >= known, rank[np.minimum(p + known, n - 1)] + 1, 0) if known < longest else p
+        key = (rank[p] << 32) | on
+        by = np.argsort(key)
+        p, key = p[by], key[by]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        order[at] = p
+        rank[p] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        at = at[~_alone(new)]
+        known *= 2
+    return order
+
+
+def _alone(new: np.ndarray) -> np.ndarray:
+    """Where new says which rows begin a block: the rows that are a block by themselves."""
+    out = new.copy()
+    out[:-1] &= new[1:]
+    return out
 
 
-def _chunks(texts: pa.Array):
-    """Lists of texts of about CHUNK bytes, a longer one alone."""
-    held, size = [], 0
-    for t in texts:
-        t = t.as_py() or b""
-        if held and size + len(t) > CHUNK:
-            yield held
-            held, size = [], 0
-        held.append(t)
-        size += len(t)
-    if held:
-        yield held
+def transform(strings: list[bytes], length: int = LENGTH) -> Shard:
+    """The transform of a shard's strings, none shorter than length."""
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    data = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)
+    is_end = np.zeros(len(data), bool)
+    is_end[np.cumsum(size + 1) - 1] = True
+    # bytes plus one; a text in UTF-8 has no byte 255, but strings may be any
+    t = data + np.uint8(1) if not (data[~is_end] == 255).any() else data.astype(np.uint16) + np.uint16(1)
+    t[is_end] = 0
+    left = np.repeat(np.cumsum(size + 1) - 1, size + 1) - np.arange(len(t))
+    order = sorted_suffixes(t, left)
+    before = t[order - 1]
+    longer = np.empty(len(t), np.int32)
+    longer[np.argsort(before, kind="stable")] = np.arange(len(t), dtype=np.int32)  # counted out by the byte before
+    into = np.repeat(size, size + 1) - left  # place in its string
+    windows = size - length + 1
+    number = np.repeat(np.cumsum(windows) - windows, size + 1) + into
+    return Shard(before, longer, np.flatnonzero(into[order] >= length), number[order])
+
+
+def merge(shards: list[Shard], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Interleaves the shards' transforms -> the windows (numbered through all shards) that are equal to another one, in the
+    order of their bytes, and for each the number of its interval of equal windows."""
+    sizes = [len(s.before) for s in shards]
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    before = np.concatenate([s.before for s in shards])
+    longer = np.concatenate([s.longer + f for s, f in zip(shards, first.tolist())]).astype(np.int32)
+    each = [len(s.ends) for s in shards]  # as many windows as ends of windows
+    window = np.concatenate([s.window + f for s, f in zip(shards, (np.cumsum(each) - each).tolist())])
+    now = np.concatenate([s.ends + f for s, f in zip(shards, first.tolist())]).astype(np.int32)
+    block = np.zeros(len(now), np.int32)
+    for n in range(1, length + 1):
+        if not len(now):
+            break
+        byte = before[now]
+        to = np.argsort(byte, kind="stable")  # of small numbers: a counting pass, not a sort by comparison
+        byte, block, now = byte[to], block[to], longer[now[to]]
+        new = np.concatenate([[True], (block[1:] != block[:-1]) | (byte[1:] != byte[:-1])])
+        if n % 4 == 0 or n == length:
+            stays = ~_alone(new)
+            now, new = now[stays], new[stays]
+        block = np.cumsum(new, dtype=np.int32)
+    return window[now], block
+
+
+def repeated(strings: list[bytes], doc: np.ndarray, dh: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Runs, as strings from `start` of their documents -> for each window of each run, in order, whether an equal window starts
+    earlier.  The same place may be there several times."""
+    own = np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1
+    hit = np.zeros(int(own.sum()), bool)
+    if not len(strings):
+        return hit
+    windows, block = merge([transform(strings[i : i + SHARD]) for i in range(0, len(strings), SHARD)])
+    if len(windows):
+        sort = np.lexsort((dh, doc))
+        document = np.empty(len(sort), np.int64)
+        document[sort] = np.cumsum(np.concatenate([[False], (np.diff(doc[sort]) != 0) | (np.diff(dh[sort]) != 0)]))
+        of = np.repeat(np.arange(len(own)), own)[windows]
+        place = (document[of] << 32) | (start[of] + windows - (np.cumsum(own) - own)[of])
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(block) != 0]))
+        least = np.repeat(np.minimum.reduceat(place, heads), np.diff(np.append(heads, len(block))))
+        hit[windows[place > least]] = True
+    return hit
+
+
+def _stretches(hit: np.ndarray, own: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that are hit, run after run -> the run, and the first and last window of each stretch of them."""
+    of = np.repeat(np.arange(len(own)), own)
+    at = np.flatnonzero(hit)
+    new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(of[at]) != 0)]) if len(at) else np.zeros(0, bool)
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(at)) - 1 if len(at) else heads
+    shift = (start - (np.cumsum(own) - own))[of[at[heads]]] if len(at) else heads
+    return of[at[heads]], at[heads] + shift, at[tails] + shift
+
+
+# --- from documents to bins ---
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -137,210 +248,116 @@ def _documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _changes(columns: list[np.ndarray], before: tuple | None) -> np.ndarray:
-    """Where one of the columns differs from the row before (before: the row before the first, if there is one)."""
-    out = np.zeros(len(columns[0]), bool)
-    out[0] = before is None or any(c[0] != x for c, x in zip(columns, before))
-    for c in columns:
-        out[1:] |= c[1:] != c[:-1]
-    return out
-
-
-def _own(new_run: np.ndarray, new_row: np.ndarray, carried: bool) -> np.ndarray:
-    """In sorted rows, those at the place where their run first occurs (several, if a document is there several times).
-    carried: whether the row before the first was such a one."""
-    moved = np.cumsum(new_row & ~new_run)
-    start = np.flatnonzero(new_run)
-    if len(start) and start[0] == 0:
-        base = np.zeros(0, np.int64)
-    else:
-        base = np.full(start[0] if len(start) else len(new_run), 0 if carried else -1)
-    base = np.concatenate([base, np.repeat(moved[start], np.diff(np.append(start, len(new_run))))]) if len(start) else base
-    return moved == base
+def _chunks(texts: pa.Array):
+    """Lists of (row, offset, bytes) of about CHUNK bytes together.  A long text comes in pieces that share LENGTH - 1 bytes, so
+    that every window is in one piece."""
+    held, size = [], 0
+    for row, t in enumerate(texts):
+        t = t.as_py() or b""
+        for at in range(0, max(1, len(t) - LENGTH + 1), CHUNK):
+            piece = t[at : at + CHUNK + LENGTH - 1]
+            if held and size + len(piece) > CHUNK:
+                yield held
+                held, size = [], 0
+            held.append((row, at, piece))
+            size += len(piece)
+    if held:
+        yield held
 
 
-def _again(h: np.ndarray, c: np.ndarray, doc: np.ndarray, dh: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of a chunk: which equal an earlier one elsewhere, and which stand for their place (not a repeated row's)."""
-    again, keep = np.zeros(len(h), bool), np.zeros(len(h), bool)
-    if len(h):
-        order = np.lexsort((a, dh, doc, c, h))
-        h, c, *place = (x[order] for x in (h, c, doc, dh, a))
-        new_run = _changes([h, c], None)
-        new_row = new_run | _changes(place, None)
-        again[order], keep[order] = ~_own(new_run, new_row, False), new_row
-    return again, keep
+def _merged_chunk(data: bytes, doc: np.ndarray, dh: np.ndarray, shift: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray):
+    """Runs a..b of a chunk's buffer, at a - shift of their documents -> which windows of the buffer (by their first byte) are
+    repeated in it, and the runs that are left."""
+    gone = np.zeros(len(data), bool)
+    _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(count[inverse] > 1)
+    if not len(some):
+        return gone, np.arange(len(h)), a, b
+    some = some[np.argsort(h[some], kind="stable")]
+    for i in range(0, len(some), BIN):
+        part = some[i : i + BIN]
+        hit = repeated([data[x : y + LENGTH] for x, y in zip(a[part].tolist(), b[part].tolist())], doc[part], dh[part], (a - shift)[part])
+        own = b[part] - a[part] + 1
+        gone[(np.repeat(a[part] - (np.cumsum(own) - own), own) + np.arange(own.sum()))[hit]] = True
+    own = b - a + 1
+    at = np.repeat(a - (np.cumsum(own) - own), own) + np.arange(own.sum())
+    of, first, last = _stretches(~gone[at], own, a)
+    return gone, of, first, last
 
 
 def runs(documents: DataFrame) -> DataFrame:
-    """doc, dh, bytes -> h, c, doc, dh, a, b, again: every run of windows a..b with the hashes of its anchor and of itself.
-    Runs that equal an earlier one of the same chunk are known to be repeated before the shuffle: they are marked, and their
-    h is a hash of their place, so that a run that is repeated very often does not meet in one task."""
+    """doc, dh, bytes -> h, doc, dh, a, b: every run of windows a..b with the hash of its anchor, after the runs of a chunk that
+    share an anchor have been merged; with null h the stretches of windows that are repeated in their chunk."""
 
     def run(batches):
         for batch in batches:
-            at = 0
-            for texts in _chunks(batch.column(2)):
-                ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+            ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for chunk in _chunks(batch.column(2)):
+                rows, offsets = (np.array(x, np.int64) for x in zip(*((r, o) for r, o, _ in chunk)))
+                ends = np.cumsum([len(p) for _, _, p in chunk])
                 firsts = np.concatenate([[0], ends[:-1]])
-                d, a, b, h, c = runs_of(np.frombuffer(b"".join(texts), np.uint8), firsts, ends)
-                own = pa.array(d + at)
-                at += len(texts)
-                doc, dh = batch.column(0).take(own), batch.column(1).take(own)
-                again, keep = _again(h, c, doc.to_numpy(), dh.to_numpy(), a)
-                h, c, a, b, again = (x[keep] for x in (h, c, a, b, again))
-                doc, dh = doc.filter(pa.array(keep)), dh.filter(pa.array(keep))
-                place = mixed((doc.to_numpy() ^ dh.to_numpy()).view(np.uint64) + a.astype(np.uint64)).view(np.int64)
+                data = b"".join(p for _, _, p in chunk)
+                piece, a, b, h = runs_of(np.frombuffer(data, np.uint8), firsts, ends)
+                shift = firsts - offsets
+                gone, left, a, b = _merged_chunk(data, ids[rows[piece]], hashes[rows[piece]], shift[piece], a, b, h)
+                piece, h = piece[left], h[left]
+                at, width = np.flatnonzero(gone), ends - firsts
+                of = np.searchsorted(ends, at, side="right")
+                new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(of) != 0)]) if len(at) else np.zeros(0, bool)
+                heads = np.flatnonzero(new)
+                tails = np.append(heads[1:], len(at)) - 1 if len(at) else heads
+                piece = np.concatenate([of[heads], piece])
+                a, b = np.concatenate([at[heads], a]) - shift[piece], np.concatenate([at[tails], b]) - shift[piece]
+                named = pa.array(np.concatenate([np.zeros(len(heads), np.int64), h]), mask=np.arange(len(piece)) < len(heads))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.where(again, place, h)), pa.array(c), doc, dh, pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(again)],
-                    names=["h", "c", "doc", "dh", "a", "b", "again"],
+                    [named, pa.array(ids[rows[piece]]), pa.array(hashes[rows[piece]]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["h", "doc", "dh", "a", "b"]
                 )
 
-    return documents.mapInArrow(run, "h long, c long, doc long, dh long, a int, b int, again boolean")
+    return documents.select("doc", "dh", "bytes").mapInArrow(run, _RUN)
 
 
-def meet(found: DataFrame) -> DataFrame:
-    """Output of runs -> h, doc, dh, a, b: with null h the runs that equal an earlier one, and with h the first of each
-    distinct run of an anchor that has several.  Rows are sorted within partitions and streamed."""
-    ordered = found.repartition("h").sortWithinPartitions("h", "c", "doc", "dh", "a")
+def contexts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of runs (h, n, doc, dh, a, b): h, n, doc, dh, a, s.  Only documents with such runs are shuffled."""
+    listed = wanted.groupBy("doc", "dh").agg(F.collect_set(F.struct("h", "n", "a", "b")).alias("runs"))
+    some = marked(documents, F.xxhash64("doc", "dh"), bitmap(wanted.select("doc", "dh").distinct(), F.xxhash64("doc", "dh"))).where("hit").drop("hit")
+    both = some.dropDuplicates(["doc", "dh"]).join(listed, ["doc", "dh"]).select("doc", "dh", "bytes", "runs")
 
     def run(batches):
-        last_h = last_run = last_place = held = None
-        carried = False
         for batch in batches:
-            known = batch.filter(batch.column(6))
-            if known.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.nulls(known.num_rows, pa.int64()), *(known.column(i) for i in (2, 3, 4, 5))], names=["h", "doc", "dh", "a", "b"])
-            batch = batch.filter(pc.invert(batch.column(6)))
-            if not batch.num_rows:
-                continue
-            h, c, *place = (batch.column(i).to_numpy() for i in range(5))
-            new_h = _changes([h], last_h)
-            new_c = new_h | _changes([h, c], last_run)
-            own = _own(new_c, new_c | _changes(place, last_place), carried)
-            reps = np.flatnonzero(new_c)
-            again = ~new_h[reps]  # not the first distinct run of its anchor
-            go = again.copy()
-            go[:-1] |= again[1:]
-            parts = [(batch, np.flatnonzero(~own), False), (batch, reps[go], True)]
-            if held is not None and len(reps):
-                if again[0]:
-                    parts.append((held, np.array([0]), True))
-                held = None
-            if len(reps) and not go[-1]:
-                held = batch.slice(int(reps[-1]), 1)
-            last_h, last_run, last_place, carried = (h[-1],), (h[-1], c[-1]), tuple(x[-1] for x in place), bool(own[-1])
-            for rows, at, named in parts:
-                if len(at):
-                    some = [rows.column(i).take(pa.array(at)) for i in (2, 3, 4, 5)]
-                    own = rows.column(0).take(pa.array(at)) if named else pa.nulls(len(at), pa.int64())
-                    yield pa.RecordBatch.from_arrays([own, *some], names=["h", "doc", "dh", "a", "b"])
-
-    return ordered.mapInArrow(run, "h long, doc long, dh long, a int, b int")
-
-
-def contexts(documents: DataFrame, reps: DataFrame) -> DataFrame:
-    """The bytes of the runs in reps: h, doc, dh, a, s.  Only documents with such runs are shuffled."""
-    wanted = reps.groupBy("doc", "dh").agg(F.collect_list(F.struct("h", "a", "b")).alias("runs"))
-    some = marked(documents, F.xxhash64("doc", "dh"), bitmap(wanted, F.xxhash64("doc", "dh"))).where("hit").drop("hit")
-    both = some.dropDuplicates(["doc", "dh"]).join(wanted, ["doc", "dh"]).select("doc", "dh", "bytes", "runs")
-
-    def run(batches):
-        for batch in batches:
-            size = max(1, batch.num_rows)
-            for i in range(0, size, 64):
+            for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64).to_pylist()
-                out = [(r["h"], x["doc"], x["dh"], r["a"], x["bytes"][r["a"] : r["b"] + LENGTH]) for x in part for r in x["runs"]]
+                out = [(r["h"], r["n"], x["doc"], x["dh"], r["a"], x["bytes"][r["a"] : r["b"] + LENGTH]) for x in part for r in x["runs"]]
                 if out:
                     columns = list(zip(*out))
                     yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.binary())], names=["h", "doc", "dh", "a", "s"]
+                        [*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.binary())], names=["h", "n", "doc", "dh", "a", "s"]
                     )
 
-    return both.mapInArrow(run, "h long, doc long, dh long, a int, s binary")
-
-
-def _shard(symbols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """symbols[t]: symbol t of each window.  The shard's transform, one column for each depth: the symbol before each suffix,
-    in the order of the suffixes; and the windows in their order."""
-    order, columns = np.arange(len(symbols[0])), []
-    for own in reversed(symbols):
-        before = own[order]
-        columns.append(before)
-        order = order[np.argsort(before, kind="stable")]
-    return columns, order
-
-
-def merge(shards: list[tuple[list[np.ndarray], np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Interleaves the shards' transforms -> the windows in order (numbered through all shards), and True where a window
-    differs from the one before."""
-    sizes = [len(order) for _, order in shards]
-    total = sum(sizes)
-    z = np.repeat(np.arange(len(shards)), sizes)
-    apart = np.zeros(total, bool)
-    for t in range(len(shards[0][0]) if shards else 0):
-        # read the transforms in the order of the interleave ...
-        symbol = np.empty(total, np.uint64)
-        symbol[np.argsort(z.astype(np.uint16), kind="stable")] = np.concatenate([columns[t] for columns, _ in shards])
-        group = np.cumsum(apart)
-        # ... and move each suffix, in order, to the place of the symbol before it
-        to = np.argsort(symbol, kind="stable")
-        symbol, group, z = symbol[to], group[to], z[to]
-        apart = np.concatenate([[False], (symbol[1:] != symbol[:-1]) | (group[1:] != group[:-1])]) if total else apart
-    windows = np.empty(total, np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if shards else []
-    windows[np.argsort(z.astype(np.uint16), kind="stable")] = np.concatenate([order + f for (_, order), f in zip(shards, first)]) if shards else []
-    return windows, apart
-
-
-def repeated(strings: list[bytes], doc: np.ndarray, dh: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Runs -> for each window of each run, in order, whether an equal window starts earlier."""
-    length = np.fromiter(map(len, strings), np.int64, len(strings))
-    own = length - LENGTH + 1
-    shards, base = [], 0
-    for i in range(0, len(strings), SHARD):
-        part, n = strings[i : i + SHARD], own[i : i + SHARD]
-        hashes = Hashes(np.frombuffer(b"".join(part), np.uint8))
-        firsts = np.concatenate([[0], np.cumsum(length[i : i + SHARD])[:-1]])
-        at = np.repeat(firsts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        shards.append(_shard([hashes.of(at + k, at + min(k + STRIDE, LENGTH)) for k in range(0, LENGTH, STRIDE)]))
-    windows, apart = merge(shards)
-    group = np.cumsum(apart)
-    size = np.bincount(group)
-    some = windows[size[group] > 1]
-    out = np.zeros(int(own.sum()), bool)
-    if len(some):
-        g = group[size[group] > 1]
-        of = np.repeat(np.arange(len(strings)), own)
-        at = start[of[some]] + some - np.concatenate([[0], np.cumsum(own)[:-1]])[of[some]]
-        sort = np.lexsort((at, dh[of[some]], doc[of[some]], g))
-        head = np.concatenate([[True], np.diff(g[sort]) != 0])
-        out[some[sort[~head]]] = True
-    return out
+    return both.mapInArrow(run, "h long, n long, doc long, dh long, a int, s binary")
 
 
-def _spans(hit: np.ndarray, own: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that are hit, run after run -> the run, first byte and end of each stretch of them."""
-    of = np.repeat(np.arange(len(own)), own)
-    at = np.flatnonzero(hit)
-    new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(of[at]) != 0)]) if len(at) else np.zeros(0, bool)
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(at)) - 1 if len(at) else heads
-    shift = (start - np.concatenate([[0], np.cumsum(own)[:-1]]))[of[at[heads]]] if len(at) else heads
-    return of[at[heads]], at[heads] + shift, at[tails] + shift + LENGTH
-
-
-def solve(part: pd.DataFrame) -> pd.DataFrame:
-    """One bin: h, doc, dh, a, s -> doc, dh, a, b: spans of bytes."""
+def solve(part: pd.DataFrame, keep: bool) -> pd.DataFrame:
+    """Runs h, doc, dh, a, s -> doc, dh, a, b of the stretches of windows that are repeated; and if the rest is kept, its
+    stretches with h and their bytes s."""
     part = part.sort_values(["doc", "dh", "a"], kind="stable")
-    doc, dh, start = (part[c].to_numpy(np.int64) for c in ("doc", "dh", "a"))
+    h, doc, dh, start = (part[c].to_numpy(np.int64) for c in ("h", "doc", "dh", "a"))
     strings = part["s"].tolist()
     hit = repeated(strings, doc, dh, start)
-    of, a, b = _spans(hit, np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1, start)
-    return pd.DataFrame({"doc": doc[of], "dh": dh[of], "a": a.astype(np.int32), "b": b.astype(np.int32)})
-
-
-def _counted(hot: DataFrame) -> DataFrame:
-    """Runs of anchors that have too many -> doc, dh, a, b: windows are told apart by 128 bits and counted."""
+    own = np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1
+    of, a, b = _stretches(hit, own, start)
+    gone = pd.DataFrame({"doc": doc[of], "dh": dh[of], "a": a.astype(np.int32), "b": b.astype(np.int32)})
+    if not keep:
+        return gone
+    of, a, b = _stretches(~hit, own, start)
+    bytes_ = [strings[i][x - s : y - s + LENGTH] for i, x, y, s in zip(of.tolist(), a.tolist(), b.tolist(), start[of].tolist())]
+    rest = pd.DataFrame({"h": h[of], "doc": doc[of], "dh": dh[of], "a": a.astype(np.int32), "b": b.astype(np.int32), "s": bytes_})
+    both = pd.concat([gone.assign(h=0, s=None), rest])
+    return both[["h", "doc", "dh", "a", "b", "s"]]
+
+
+def _windows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs doc, dh, a, s -> h, n, doc, dh, a, s: their windows by a hash of the whole window, where another one has it; and
+    these hashes, h and n."""
 
     def run(batches):
         for batch in batches:
@@ -348,41 +365,73 @@ def _counted(hot: DataFrame) -> DataFrame:
                 part = batch.slice(i, 1024)
                 strings = part.column(3).to_pylist()
                 own = np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1
-                w = [hashlib.blake2b(s[k : k + LENGTH], digest_size=16).digest() for s, n in zip(strings, own.tolist()) for k in range(n)]
                 of = np.repeat(np.arange(len(strings)), own)
-                at = np.repeat(part.column(2).to_numpy() - np.concatenate([[0], np.cumsum(own)[:-1]]), own) + np.arange(own.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), *(part.column(k).take(pa.array(of)) for k in (0, 1)), pa.array(at.astype(np.int32))], names=["w", "doc", "dh", "a"])
-
-    each = hot.select("doc", "dh", "a", "s").mapInArrow(run, "w binary, doc long, dh long, a int")
-    at = F.struct("doc", "dh", "a")
-    least = each.groupBy("w").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return each.join(least, "w").where(F.col("first") < at).select("doc", "dh", "a", (F.col("a") + LENGTH).cast("int").alias("b"))
+                into = np.arange(own.sum()) - (np.cumsum(own) - own)[of]
+                data = b"".join(strings)
+                at = (np.cumsum(own + LENGTH - 1) - own - LENGTH + 1)[of] + into
+                h = Hashes(np.frombuffer(data, np.uint8)).grams(LENGTH)[at].view(np.int64)
+                s = pa.array([data[x : x + LENGTH] for x in at.tolist()], pa.binary())
+                place = (part.column(2).to_numpy()[of] + into).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h), *(part.column(k).take(pa.array(of)) for k in (0, 1)), pa.array(place), s], names=["h", "doc", "dh", "a", "s"])
+
+    each = rows.select("doc", "dh", "a", "s").mapInArrow(run, "h long, doc long, dh long, a int, s binary")
+    several = materialize(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-hashes")
+    return join_counted(each, several, ["h"], _size(several)[0]).select("h", "n", "doc", "dh", "a", "s"), several
+
+
+def _size(counted: DataFrame) -> tuple[int, int]:
+    """The sum of all n, and the largest."""
+    total, most = counted.agg(F.sum("n"), F.max("n")).first()
+    return total or 0, most or 0
+
+
+def settle(found: DataFrame, total: int, most: int, whole: bool = False) -> DataFrame:
+    """Runs h, n (how many have this h), doc, dh, a, s -> doc, dh, a, b: the stretches of windows that are repeated.
+    total: how many runs, most: the largest n.  whole: they are windows with one hash, which no other key parts."""
+    many = F.col("n") > MOST
+    found = materialize(found, "suffix-strings") if most > MOST else found
+    small, hot, done = found.where(~many), found.where(many), []
+    while most > MOST:
+        salt = F.pmod(F.xxhash64("doc", "dh", "a"), F.ceil(F.col("n") / MOST))
+        level = hot.groupBy("h", salt.alias("salt"), "n").applyInPandas(lambda part: solve(part, True).assign(n=part["n"].iloc[0]), "h long, doc long, dh long, a int, b int, s binary, n long")
+        level = materialize(level, "suffix-level")
+        done.append(level.where("s is null").select("doc", "dh", "a", "b"))
+        left = level.where("s is not null").withColumnRenamed("n", "before").drop("b")
+        now = materialize(left.groupBy("h").agg(F.count("*").alias("n")), "suffix-left")
+        left = materialize(join_counted(left, now, ["h"], total), "suffix-rest")
+        shrunk = F.lit(whole) | (F.col("n") * 2 <= F.col("before"))
+        small = small.unionAll(left.where(~many | F.lit(whole)).select(small.columns))
+        stuck = left.where(many & ~shrunk)
+        if not stuck.isEmpty():
+            each, several = _windows(stuck)
+            done.append(settle(each, *_size(several), True))
+        hot = left.where(many & shrunk & F.lit(not whole)).select(small.columns)
+        most = hot.agg(F.max("n")).first()[0] or 0
+    binned = small.withColumn("bin", F.pmod("h", F.lit(n_buckets(total, BIN)))).groupBy("bin").applyInPandas(lambda part: solve(part, False), "doc long, dh long, a int, b int")
+    for d in done:
+        binned = binned.unionAll(d)
+    return binned
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc, dh, a, b: bytes that go (spans may overlap); doc is the doc_id, the least number for null, and dh
     the hash of the text."""
+    ready(docs.sparkSession)
     documents = _documents(docs).drop("null_id")
-    met = materialize(meet(runs(documents)), "suffix-met")
-    reps = met.where("h is not null")
-    whole = met.where("h is null").select("doc", "dh", "a", (F.col("b") + LENGTH).cast("int").alias("b"))
-    many = reps.groupBy("h").count().where(F.col("count") > MOST).select("h", F.lit(True).alias("many"))
-    many = materialize(many, "suffix-many")
-    bins = n_buckets(reps.count(), BIN)
-    found = contexts(documents, reps)
-    if many.isEmpty():
-        hot = None
-    else:
-        found = materialize(found.join(many, "h", "left"), "suffix-runs")
-        hot, found = found.where("many"), found.where("many is null").drop("many")
-    binned = found.withColumn("bin", F.pmod("h", F.lit(bins))).groupBy("bin").applyInPandas(solve, "doc long, dh long, a int, b int")
-    out = whole.unionAll(binned)
-    return out.unionAll(_counted(hot)) if hot is not None else out
+    found = materialize(runs(documents), "suffix-runs")
+    named = found.where("h is not null")
+    anchors = materialize(named.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-anchors")
+    hit = marked(named, F.col("h"), bitmap(anchors, F.col("h"))).where("hit").drop("hit")
+    total, most = _size(anchors)
+    wanted = materialize(join_counted(hit, anchors, ["h"], total), "suffix-wanted")
+    gone = found.where("h is null").select("doc", "dh", "a", "b").unionAll(settle(contexts(documents, wanted), total, most))
+    return gone.select("doc", "dh", "a", (F.col("b") + LENGTH).cast("int").alias("b"))
 
 
 def report(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.  Texts that lose nothing are not shuffled."""
-    lists = gone.groupBy("doc", "dh").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    ready(docs.sparkSession)
+    lists = gone.groupBy("doc", "dh").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     lists = materialize(lists, "suffix-spans")
     documents = _documents(docs)
     flagged = marked(documents, F.xxhash64("doc", "dh"), bitmap(lists, F.xxhash64("doc", "dh")))

@@ -518,11 +518,12 @@ def brute_repeats(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("most,shard,size", [(16_384, 2_048, 16_384), (3, 8, 32)])
+@pytest.mark.parametrize("most,shard,size", [(8_192, 512, 8_192), (3, 8, 32), (3, 2, 8)])
 def test_repeated_passages_go(spark, monkeypatch, most, shard, size):
     monkeypatch.setattr(suffix_dedup, "MOST", most)
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)
     monkeypatch.setattr(suffix_dedup, "BIN", size)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1_000 if size < 100 else 1 << 19)
     rng = random.Random(most)
     base = ["".join(rng.choice("abé") for _ in range(500)) for _ in range(4)]
     rows = []
@@ -542,14 +543,25 @@ def test_repeated_passages_go(spark, monkeypatch, most, shard, size):
     assert suffix_dedup.report(df.limit(0), suffix_dedup.spans(df.limit(0))).count() == 0
 
 
-def test_merge_refines_the_interleave():
-    rng = np.random.default_rng(1)
-    symbols = [rng.integers(0, 3, 300).astype(np.uint64) for _ in range(4)]
-    shards = [suffix_dedup._shard([s[i : i + 70] for s in symbols]) for i in range(0, 300, 70)]
-    windows, apart = suffix_dedup.merge(shards)
-    rows = list(zip(*(s.tolist() for s in symbols)))
-    assert [rows[w] for w in windows] == sorted(rows)
-    assert all(a == (rows[x] != rows[y]) for a, x, y in zip(apart[1:], windows[1:], windows))
+@pytest.mark.parametrize("shard", [1, 7, 60])
+def test_merge_finds_the_intervals_of_equal_windows(shard):
+    rng = random.Random(shard)
+    strings = [bytes(rng.choice(b"ab\xff\x00") for _ in range(rng.randrange(6, 40))) for _ in range(60)]
+    strings += [strings[3], strings[3][2:], b"a" * 30, b"a" * 30, b"\xff" * 9]
+    shards = [suffix_dedup.transform(strings[i : i + shard], 6) for i in range(0, len(strings), shard)]
+    windows, block = suffix_dedup.merge(shards, 6)
+    every = [s[k : k + 6] for s in strings for k in range(len(s) - 5)]
+    count = Counter(every)
+    assert sorted(windows.tolist()) == [i for i, w in enumerate(every) if count[w] > 1]
+    found = [every[w] for w in windows]
+    assert found == sorted(found) and all((x == y) == (a == b) for x, y, a, b in zip(found, found[1:], block, block[1:]))
+
+
+def test_transform_is_that_of_the_sorted_suffixes():
+    strings = [b"banana", b"bandana", b"banana", b"\xff\xfe\xff\xfe\xff\xfe\xff\xfe\xff\xfe"]
+    shard = suffix_dedup.transform(strings, 3)
+    every = sorted((s[k:], i, s[k - 1] + 1 if k else 0) for i, s in enumerate(strings) for k in range(len(s) + 1))
+    assert shard.before.tolist() == [x[2] for x in every]
 
 
 # --- shared ---
