@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from helixforge import ship
 from helixforge import storage
 
-#: rows of a batch that goes to Python: some megabytes of documents
-BATCH_ROWS = 2_000
+#: bytes of a batch that goes to Python, whatever the length of the texts in it (a longer text is a batch by itself)
+BATCH_BYTES = 8 << 20
+_BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ready(spark: SparkSession) -> None:
-    """Ships the code, and makes batches of whole texts small, unless the session says otherwise."""
+    """Ships the code, and makes batches of whole texts small, unless the session says otherwise.  Before a plan with Python
+    functions is made: what a function imports is noted when its plan is."""
     ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get(_BATCH, _SPARKS_OWN) == _SPARKS_OWN:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

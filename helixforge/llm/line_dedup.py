@@ -21,11 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, marked, materialize, whole_text
+from .common import bitmap, join_counted, marked, materialize, whole_text
 
 SEGMENT = 256
 LEAST = 5  # one edit is at most a fifth of so many code points
-HOT = 4096
 
 
 def _hash2(line: Column) -> list[Column]:
@@ -58,15 +57,19 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def _with_partners(items: DataFrame, key: str) -> DataFrame:
     """The items whose key another distinct item has.  An item has a key once."""
-    several = items.groupBy(key).agg(F.count("*").alias("__c")).where("__c > 1").select(key)
-    return items.join(several, key, "left_semi")
+    several = materialize(items.groupBy(key).agg(F.count("*").alias("__c")).where("__c > 1"), "lines-keys")
+    total = several.agg(F.sum("__c")).first()[0] or 0
+    return join_counted(items, several, [key], total, "__c").drop("__c")
 
 
 def _texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """l1, l2 of some distinct lines -> l1, l2, line.  A bitmap of their hashes, of bounded size, goes to all tasks and
-    keeps most other lines from the shuffle; the join after it is exact."""
-    near = marked(_lines(docs).select("line", *_hash2(F.col("line"))), F.col("l1"), bitmap(lines, F.col("l1"))).where("hit")
-    return near.select("l1", "l2", "line").join(lines.select("l1", "l2"), ["l1", "l2"], "left_semi").groupBy("l1", "l2").agg(F.first("line").alias("line"))
+    """l1, l2, first of some distinct lines -> l1, l2, line.  A line's text is taken from where it first stands: a bitmap of
+    these places, of bounded size, goes to all tasks and keeps nearly all else from the shuffle.  What passes is one row a line
+    in each task before it is shuffled; the join after it is exact."""
+    place = F.xxhash64("first.doc_id", "first.h", "first.n")
+    own = _lines(docs).select("line", *_hash2(F.col("line")), F.xxhash64("doc_id", "h", "n").alias("at"))
+    near = marked(own, F.col("at"), bitmap(lines, place)).where("hit").groupBy("l1", "l2").agg(F.first("line").alias("line"))
+    return near.join(lines.select("l1", "l2"), ["l1", "l2"], "left_semi")
 
 
 def _variants(items: DataFrame) -> DataFrame:
@@ -89,7 +92,7 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """l1, l2 of the distinct lines that have an earlier near copy."""
     keyed = distinct.where("keys is not null").select("l1", "l2", "first", F.posexplode("keys").alias("c", "key"))
     some = materialize(_with_partners(keyed, "key"), "lines-halves")
-    texts = materialize(_texts(docs, some.select("l1", "l2").distinct()), "lines-texts")
+    texts = materialize(_texts(docs, some.select("l1", "l2", "first").distinct()), "lines-texts")
     n = F.length("line")
     m = n - F.floor(F.col("c") / 2).cast("int")
     _, rest = _half(F.col("line"), n, m, F.col("c") % 2, F.lit(0))
@@ -131,13 +134,8 @@ def removed(docs: DataFrame) -> DataFrame:
     near = _near(docs, distinct.select("l1", "l2", "first", "keys")).select("l1", "l2", F.lit(True).alias("near"))
     flagged = distinct.select("l1", "l2", "first", "cnt").join(near, ["l1", "l2"], "left").where("cnt > 1 or near")
     flagged = materialize(flagged.select("l1", "l2", "first", "cnt", F.coalesce("near", F.lit(False)).alias("near")), "lines-marked")
-    # lines with over one in HOT of all rows are at most HOT lines, and go to all tasks; so no line's rows meet in one
-    least = max(1, found.count() // HOT)
-    hot = flagged.where(F.col("cnt") > least).select("l1", "l2", F.col("first").alias("hot_first"), F.col("near").alias("hot_near"))
-    rows = found.select("doc_id", "h", "n", "l1", "l2").join(F.broadcast(hot), ["l1", "l2"], "left")
-    common = rows.where(F.col("hot_first").isNotNull() & (F.col("hot_near") | (F.col("hot_first") < at)))
-    rest = rows.where("hot_first is null").join(flagged.where(F.col("cnt") <= least), ["l1", "l2"]).where(F.col("near") | (F.col("first") < at))
-    hit = common.select("doc_id", "h", "n").unionAll(rest.select("doc_id", "h", "n"))
+    rows = found.select("doc_id", "h", "n", "l1", "l2")
+    hit = join_counted(rows, flagged, ["l1", "l2"], found.count(), "cnt").where(F.col("near") | (F.col("first") < at))
     return hit.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("n")).alias("lines"))
 
 
