@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ready
+
 END, LETTER, NUMBER, OTHER, BLANK, SPACE = range(6)
 #: code points with the White_Space property, fixed values
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -202,6 +204,11 @@ class Codec:
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
+    def decode_slices(self, ids: np.ndarray, offsets: np.ndarray) -> list[tuple[int, bytes]]:
+        """The slices that the ids stem from, by the offsets that encode gave: (offset, bytes)."""
+        heads = np.flatnonzero(np.diff(offsets, prepend=-1))
+        return [(o, self.decode(part)) for o, part in zip(offsets[heads].tolist(), np.split(ids, heads[1:]))] if len(ids) else []
+
 
 _codecs: dict[int, Codec] = {}
 
@@ -235,6 +242,7 @@ def vocabulary(df: DataFrame, path: str):
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, text -> keep, ids array<int>, offsets array<int> (code points, of the slice that an id stems from)."""
+    ready(docs.sparkSession)
     content = vocabulary(docs, path)
     k = len(keep)
 
@@ -258,6 +266,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, ids -> keep, decoded binary.  Null ids decode to no bytes."""
+    ready(encoded.sparkSession)
     content = vocabulary(encoded, path)
     k = len(keep)
 
@@ -272,19 +281,21 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Encodes, decodes the ids, and reports both as digests: doc_id, n_tokens, ids_sha256, decoded_sha256.  One Python
-    pass, so that no ids cross to the JVM and back."""
+    """Encodes, decodes the ids, and reports both as digests: doc_id, n_tokens, ids_sha256, decoded_sha256, and n_slices, the
+    number of slices by the offsets.  One Python pass, so that no ids cross to the JVM and back."""
+    ready(docs.sparkSession)
     content = vocabulary(docs, path)
 
     def run(batches):
         own = codec(content.value)
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, m = [], [], [], []
             for texts in in_chunks(batch.column(1)):
-                for ids in own.encode(texts)[0]:
+                for ids, offsets in zip(*own.encode(texts)):
                     n.append(len(ids))
+                    m.append(int(np.count_nonzero(np.diff(offsets, prepend=-1))))
                     a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     b.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(m, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_slices"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_slices long")

@@ -5,7 +5,7 @@ document; what is left is one fractional probability per document, and pivotal r
 meet, mass moves between them at random, words kept in sum and expectations kept apart, until one of the two is
 integral; the other one meets the next.  So each group leaves one fractional document per source at most, and those
 meet again in a reduction tree of a fixed fan-in until one per source is left, which its own probability decides.  Words
-taken therefore differ from a source's target by less than one document.
+taken therefore differ from a source's target by less than one unit: the rows that share a doc_id and a source.
 
 Random numbers are hashes of the seed, the document and the level, and groups are hashes of the document whose number
 follows the row count, so reruns agree on any cluster.
@@ -85,8 +85,8 @@ def _pivot(f: np.ndarray, size: np.ndarray, rnd: np.ndarray) -> np.ndarray:
 
 def _level(seed: int, level: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rng = np.uint64((seed * 1_000_003 + level + 1) & (2**64 - 1))
-        mixed = rows["h"].to_numpy(np.int64).astype(np.uint64) ^ rng * np.uint64(0x9E3779B97F4A7C15)
+        rng = np.uint64(((seed * 1_000_003 + level + 1) * 0x9E3779B97F4A7C15) % (1 << 64))
+        mixed = rows["h"].to_numpy(np.int64).astype(np.uint64) ^ rng
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         rows["u"] = ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(11)) / float(1 << 53)
         # long documents first: the one that stays fractional then tends to be short

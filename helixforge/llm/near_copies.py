@@ -23,11 +23,11 @@ from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import bitmap, marked, materialize
+from .common import bitmap, marked, materialize, ready
 from .components import components
 
 WORDS, BANDS, ROWS = 5, 16, 4
-MOST = 1024
+MOST = 256
 _RNG = np.random.default_rng(42)
 _A, _B = _RNG.integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
 _A |= np.uint64(1)
@@ -96,6 +96,7 @@ def _stars(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, h, fp, digest, bands: of each text its hash, its SimHash, a hash of its set and its bands."""
+    ready(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ready
+
 VOCABULARY, DIMENSIONS, NONZERO, WINDOW = 1 << 14, 32, 4, 2
 #: at most so many labelled rows are fitted (those with the smallest hash of doc_id); bounds the driver's memory and time
 MOST_LABELLED = 20_000
@@ -75,6 +77,7 @@ def _flat(held: list[list[int]], size: int):
 def gather(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Occurrences and context sums of every slot over all documents.  Each task adds its documents up and sends a row for
     each slot that it has met; what reaches the driver is VOCABULARY rows at most."""
+    ready(docs.sparkSession)
     names = [f"c{i}" for i in range(DIMENSIONS)]
 
     def run(batches):
@@ -196,7 +199,8 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Network:
     """docs: doc_id, text; labels: doc_id, quality.  Learns from labelled rows that are not held out, at most `most`.  A
-    document with several labels counts with the largest."""
+    document with several labels counts with the largest, and a doc_id with several texts with that of the smallest hash."""
+    ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     vectors = word_vectors(*gather(docs))
     own = labels.select("doc_id", "quality").where("quality is not null").where(~held_out(F.col("doc_id")))
@@ -213,8 +217,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Netw
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(list(x))], names=["doc_id", "quality", "x"])
                 at += n
 
-    # at most `most` rows of two numbers: bounded, so the texts stay where they are
-    sample = docs.join(F.broadcast(few), docs["doc_id"] == F.col("l_id")).select(docs["doc_id"], "quality", "text").mapInArrow(run, "doc_id long, quality int, x array<double>")
+    # at most `most` rows of two numbers: bounded, so only their texts are shuffled
+    sample = docs.join(F.broadcast(few), docs["doc_id"] == F.col("l_id")).groupBy(docs["doc_id"], "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = sample.mapInArrow(run, "doc_id long, quality int, x array<double>")
     rows = sorted(((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["quality"], r["x"]) for r in sample.toLocalIterator()), key=lambda r: r[:3])
     x = np.array([r[3] for r in rows]).reshape(len(rows), vectors.shape[1] + 2)
     return fit(x, np.array([r[2] for r in rows], int), vectors)
@@ -222,6 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Netw
 
 def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, text -> keep, score."""
+    ready(docs.sparkSession)
     shared, k = docs.sparkSession.sparkContext.broadcast(net), len(keep)
 
     def run(batches):
@@ -237,6 +243,7 @@ def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",)) ->
 
 def accept(docs: DataFrame, net: Network, least: float = ACCEPT) -> DataFrame:
     """The documents that score at least `least`; columns as in docs.  Texts are scored where they are: no shuffle."""
+    ready(docs.sparkSession)
     names = docs.columns
     place = names.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(net)

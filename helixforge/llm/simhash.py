@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize, ready
 from .components import components
 
 MOST = 1024
@@ -48,6 +48,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), width: int = 3) -> DataFrame:
     """keep, text -> keep, fp (the 64 bits as a long)."""
+    ready(docs.sparkSession)
     k = len(keep)
 
     def run(batches):
@@ -89,6 +90,7 @@ def link(distinct: DataFrame, bits: int = 2) -> DataFrame:
     such pairs.  Rows: 64 keys a fingerprint, sorted within partitions; one key's rows are streamed."""
     if not 0 <= bits <= 2:
         raise ValueError("bits: 0, 1 or 2")
+    ready(distinct.sparkSession)
     keyed = variants(distinct)
     sorted_keys = keyed.repartition("key").sortWithinPartitions("key", "fp")
 
@@ -168,13 +170,16 @@ def link(distinct: DataFrame, bits: int = 2) -> DataFrame:
 
 def near_duplicates(marked: DataFrame, bits: int = 2) -> DataFrame:
     """Output of fingerprints, with doc_id -> doc_id, fp, component_id: the smallest doc_id that links of `bits` bits reach."""
-    own = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    own = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("__n"))
     own = materialize(own, "simhash-distinct")
     found = components(link(own.select("fp"), bits))
-    placed = own.join(found, own["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = placed.join(ids, "component").select(F.col("fp").alias("of_fp"), "component_id")
-    return marked.join(of, marked["fp"] == of["of_fp"]).drop("of_fp")
+    placed = own.join(found, own["fp"] == found["node"], "left").select("fp", "least", "__n", F.coalesce("component", "fp").alias("component"))
+    placed = materialize(placed, "simhash-placed")
+    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("__m"))
+    distinct, every = placed.agg(F.count("*"), F.sum("__n")).first()
+    # neither a large component nor a text of many copies meets in one task
+    of = join_counted(placed, ids, ["component"], distinct, "__m").select("fp", "__n", "component_id")
+    return join_counted(marked, of, ["fp"], every or 0, "__n").drop("__n")
 
 
 def keep_one(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame:
@@ -185,9 +190,11 @@ def keep_one(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame:
 
 
 def keep_keys(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """The documents that first names, k: (doc_id, hash of the text), each once."""
+    """The documents that first names, k: (doc_id, hash of the text), each once: of rows that repeat both, the one whose other
+    columns have the smallest hash."""
     first = first.select(F.col("k.doc_id").alias("__k_id"), F.col("k.h").alias("__k_h"))
     own = docs.withColumn("__h", F.xxhash64("text"))
     kept = own.join(first, own["doc_id"].eqNullSafe(first["__k_id"]) & (own["__h"] == first["__k_h"]), "left_semi")
-    one = Wd.partitionBy("doc_id", "__h").orderBy("source")
+    other = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    one = Wd.partitionBy("doc_id", "__h").orderBy(F.xxhash64(*other))
     return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)

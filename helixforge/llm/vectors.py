@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ready
+
 
 def clean(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: float | None = None, zero: bool = True) -> DataFrame:
     """vec_id long, v binary (float64), n2 double (squared length).  scale: each component x becomes floor(scale * x).
@@ -33,6 +35,7 @@ def clean(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
                 names=["vec_id", "v", "n2"],
             )
 
+    ready(rows.sparkSession)
     own = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
     found = own.mapInArrow(run, "vec_id long, v binary, n2 double")
     return found.groupBy("vec_id").agg(F.min(F.struct("v", "n2")).alias("x")).select("vec_id", "x.v", "x.n2")

@@ -34,7 +34,7 @@ from .common import materialize, n_buckets, ready
 
 SHARD, LEAF = 8192, 96
 #: relaxation of the triangle inequality; see the README for the recall that it gives
-FACTOR = 2.0
+FACTOR = 1.25
 #: places beside the k best for what lies within rounding of the k-th; more than these are looked up one by one
 SPARE = 16
 

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from helixforge.llm import line_dedup, quality, simhash
@@ -38,10 +39,37 @@ def test_stages_one_after_another(spark):
 
 
 def test_run_is_the_stages(spark):
-    assert P.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert P.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_slices"]
 
 
 def test_stages_of_an_empty_table(spark):
     docs = read(spark, SF, "documents").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_with_nulls_repeats_long_texts_and_clashing_columns(spark):
+    """Each stage on its own odd input: null and empty texts, a null id, repeated rows, one long text, and columns of names that
+    the operators use inside."""
+    own = read(spark, SF, "documents")
+    text = own.where("length(text) > 200").first()["text"]
+    odd = [(None, text), (9_000_001, None), (9_000_002, ""), (9_000_003, text), (9_000_003, text), (9_000_004, "word " * 60_000), (9_000_005, "\n\n \n")]
+    rows = spark.createDataFrame([(i, t, "en", None if n % 2 else "odd", None if t is None else len(t)) for n, (i, t) in enumerate(odd)], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("h", "n", "line", "fp", "size", "copies", "score", "component", "key", "digest", "lines", "n_tokens")
+    docs = materialize(own.unionByName(rows).withColumns({c: F.lit("x") for c in names}), "odd")
+    total = docs.count()
+    for name, stage in P.STAGES:
+        out = materialize(stage(spark, docs, SF), "odd-out")
+        kept = out.count()
+        if name == "byte-level bpe":
+            assert kept == total and out.where("doc_id in (9000001, 9000002)").agg(F.sum("n_tokens")).first()[0] == 0
+            continue
+        assert out.columns == docs.columns
+        assert out.where("h <> 'x'").count() == 0
+        if name == "line dedup":
+            assert kept == total and out.where("doc_id = 9000001 and text is null").count() == 1
+        if name == "simhash near-dedup":
+            assert kept < total and out.where("doc_id = 9000003").count() <= 1
+            assert out.where("doc_id in (9000001, 9000002, 9000005)").count() <= 1
+        if name == "quality classifier":
+            assert kept <= total
