@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixforge.functions.sequence import reverse_complement
+from helixforge.operators.align import REVERSE
 from helixforge.options import Options
 
 
@@ -114,6 +116,44 @@ def correct(cols: DataFrame, props: DataFrame, trees: list[Node], options: Optio
     return own.groupBy(F.col("anchor_id").alias("read_id"), "is_hq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(pairs)), lambda x: x["base"]), "").alias("sequence"))
 
 
+#: What candidate_features computes.
+CANDIDATE_DESCRIPTOR = "support,coverage,own_share,near_support,avg_support,min_support,overhang"
+
+
+def candidate_features(found: DataFrame, cols: DataFrame, props: DataFrame, options: Options) -> DataFrame:
+    """anchor_id, cand_id, orientation, col, base, consensus, f of every letter of the candidates that may be corrected (f is null
+    where the letter is the consensus); base is the candidate's letter on the anchor's strand.  found: output of
+    align.oriented.  The overhang is the part of the candidate that lies outside the anchor."""
+    from pyspark.sql import Window as Wd
+
+    n, r = options.new_columns_to_correct, options.neighbor_region
+    hq = props.where("is_hq").select("anchor_id", "avg_support", "min_support")
+    ends = cols.where("anchor_base is not null").groupBy("anchor_id").agg((F.max("col") + 1).alias("anchor_end"))
+    size = F.length("sequence")
+    some = found.join(hq, "anchor_id").join(ends, "anchor_id").withColumn("end", F.col("shift") + size)
+    some = some.where((F.col("shift") >= -n) & (F.col("end") <= F.col("anchor_end") + n))
+    outside = (F.greatest(-F.col("shift"), F.lit(0)) + F.greatest(F.col("end") - F.col("anchor_end"), F.lit(0))) / size
+    each = some.select("anchor_id", "cand_id", "orientation", "shift", "sequence", "avg_support", "min_support", outside.alias("overhang"), F.explode(F.sequence(F.col("shift"), F.col("end") - 1)).alias("col"))
+    near = F.min("support").over(Wd.partitionBy("anchor_id").orderBy("col").rangeBetween(-r, r))
+    letters = cols.select("anchor_id", "col", "consensus", "support", "coverage", "w_a", "w_c", "w_g", "w_t", near.alias("near"))
+    base = F.substr("sequence", F.col("col") - F.col("shift") + 1, F.lit(1))
+    own = each.withColumn("base", base).join(letters, ["anchor_id", "col"])
+    mine = F.coalesce(*[F.when(F.col("base") == b, F.col("w_" + b.lower())) for b in "ACGT"], F.lit(0))
+    share = mine / (F.col("w_a") + F.col("w_c") + F.col("w_g") + F.col("w_t"))
+    f = F.array(*[c.cast("double") for c in (F.col("support"), F.col("coverage"), share, F.col("near"), F.col("avg_support"), F.col("min_support"), F.col("overhang"))])
+    return own.select("anchor_id", "cand_id", "orientation", "col", "base", "consensus", F.when(F.col("base") != F.col("consensus"), f).alias("f"))
+
+
+def correct_candidates(featured: DataFrame, trees: list[Node], options: Options) -> DataFrame:
+    """Output of candidate_features -> read_id, anchor_id, sequence: like the rule-based candidates, but a letter changes where the
+    forest says so."""
+    yes = F.col("f").isNotNull() & decide(trees, [F.get("f", F.lit(i)) for i in range(7)], options.threshold_candidates)
+    pairs = F.struct("col", F.when(yes, F.col("consensus")).otherwise(F.col("base")).alias("base"))
+    whole = featured.groupBy("anchor_id", "cand_id", "orientation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(pairs)), lambda x: x["base"]), "").alias("s"))
+    sequence = F.when(F.col("orientation") == REVERSE, reverse_complement(F.col("s"))).otherwise(F.col("s"))
+    return whole.select(F.col("cand_id").alias("read_id"), "anchor_id", sequence.alias("sequence"))
+
+
 def labelled(featured: DataFrame, perfect: DataFrame) -> DataFrame:
     """Features with y = 1 where the consensus is the true letter."""
     own = featured.join(perfect.select(F.col("read_id").alias("anchor_id"), "sequence"), "anchor_id")

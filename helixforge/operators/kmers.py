@@ -25,8 +25,19 @@ def canonical_kmers(reads: DataFrame, k: int, keep: tuple[str, ...] = ("read_id"
 
 
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
-    """code, n: partial counts come before the shuffle."""
-    return canonical_kmers(reads, k).groupBy("code").agg(F.count("*").alias("n"))
+    """code, n.  k-mers are counted in Arrow batches, as numbers; what is shuffled are a batch's distinct codes.  A stream has
+    no batches to count in, and makes a row of each k-mer."""
+    if reads.isStreaming:
+        return canonical_kmers(reads, k).groupBy("code").agg(F.count("*").alias("n"))
+
+    def run(batches):
+        for batch in batches:
+            parts = [(s or "").encode() for s in batch.column(0).to_pylist()]
+            _, codes = _canonical_codes(_CODES[np.frombuffer(b"\n".join(parts), np.uint8)], k)
+            codes, n = np.unique(codes.view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+    return reads.select("sequence").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def spectrum(counts: DataFrame) -> DataFrame:
@@ -127,6 +138,13 @@ def in_genome(kmers: DataFrame, genome: DataFrame) -> DataFrame:
     return kmers.join(genome.select("code").distinct(), "code", "left_semi")
 
 
+def genome_share(counts: DataFrame, genome: DataFrame) -> DataFrame:
+    """counts (code, n) and the genome's codes, each once -> n_in, weight_in, n_all, weight_all: distinct and all k-mers that the
+    genome has, and all that there are.  One join and one row."""
+    both = counts.join(genome.select("code", F.lit(True).alias("inside")), "code", "left")
+    return both.agg(F.count_if("inside").alias("n_in"), F.sum(F.when(F.col("inside"), F.col("n"))).alias("weight_in"), F.count("*").alias("n_all"), F.sum("n").alias("weight_all"))
+
+
 def lost(true: DataFrame, corrected: DataFrame) -> DataFrame:
     """Distinct true k-mers that no corrected read has."""
     return true.select("code").distinct().join(corrected.select("code"), "code", "left_anti")

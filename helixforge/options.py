@@ -4,7 +4,7 @@ Spark's configuration."""
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -59,7 +59,9 @@ class Options:
     sample_rate_anchor: float = 1.0
     sample_rate_candidates: float = 0.01
     max_trees: int = 2**32 - 1
-    extra: dict = field(default_factory=dict)
+    max_trees_candidates: int = 2**32 - 1
+    features_file: str = "anchorfeatures.txt"  #: in output_dir, what print mode writes
+    features_file_candidates: str = "candidatefeatures.txt"
 
     def __post_init__(self) -> None:
         if not 1 <= self.kmer_length <= 32:
@@ -71,6 +73,11 @@ class Options:
         for name in ("correction_type", "correction_type_candidates"):
             if getattr(self, name) not in ("classic", "forest", "print"):
                 raise ValueError(f"{name}: classic, forest or print")
+        for name in ("sample_rate_anchor", "sample_rate_candidates"):
+            if not 0 <= getattr(self, name) <= 1:
+                raise ValueError(f"{name}: 0 to 1")
+        if self.output_files and len(self.output_files) not in (1, len(self.input_files)):
+            raise ValueError("output_files: none, one for all reads, or one for each input file")
 
     @property
     def bucket_limit(self) -> int:

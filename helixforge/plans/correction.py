@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from helixforge.operators import align, candidates, correct, forest, kmers, msa
+from helixforge.operators import align, candidates, forest, kmers, msa
+from helixforge.operators import correct as rule
 from helixforge.operators.reads import exclude_ambiguous
 from helixforge.operators.primitives import first_ids
 from helixforge.options import Options
@@ -32,8 +33,9 @@ def sketch(reads: DataFrame, options: Options) -> DataFrame:
 
 
 def steps(reads: DataFrame, options: Options, refine: bool = True, keys: DataFrame | None = None) -> Steps:
-    """reads: read_id, sequence and, if they are used, quality.  keys: saved tables instead of new ones."""
-    reads = first_ids(reads, options.first_reads)
+    """reads: read_id, sequence and, if they are used, quality; they are written down once, by all that reads them again.
+    keys: saved tables instead of new ones."""
+    reads = materialize(first_ids(reads, options.first_reads), "reads")
     indexed = exclude_ambiguous(reads) if options.exclude_ambiguous else reads
     keys = sketch(indexed, options) if keys is None else keys
     pairs = candidates.pairs(keys, options.bucket_limit)
@@ -52,14 +54,41 @@ def steps(reads: DataFrame, options: Options, refine: bool = True, keys: DataFra
     return Steps(reads, keys, pairs, found, oriented, built, columns, msa.properties(columns, options))
 
 
-def corrected(reads: DataFrame, options: Options, refine: bool = True, trees: list | None = None, keys: DataFrame | None = None) -> DataFrame:
-    """read_id, sequence, q for every read."""
+@dataclass
+class Corrected:
+    """results: read_id, sequence, q for every read.  features and features_candidates: what print mode asks for, else
+    nothing."""
+
+    results: DataFrame
+    features: DataFrame | None = None
+    features_candidates: DataFrame | None = None
+
+
+def correct(reads: DataFrame, options: Options, refine: bool = True, trees: list | None = None, keys: DataFrame | None = None, trees_candidates: list | None = None) -> Corrected:
+    """The whole correction.  classic: the rule.  forest: letters change where the forest of anchors (and that of candidates) says
+    so.  print: the rule, and the features that a forest would be asked about, for training."""
     s = steps(reads, options, refine, keys)
+    asked = asked_candidates = secondary = None
     if options.correction_type == "forest":
         if not trees:
             raise ValueError("a forest is needed")
         primary = forest.correct(s.columns, s.properties, trees, options)
     else:
-        primary = correct.anchors(s.columns, s.properties, options)
-    secondary = correct.candidates(s.oriented, s.columns, s.properties, options) if options.correct_candidates else None
-    return correct.combine(materialize(primary, "primary"), secondary, s.reads)
+        primary = rule.anchors(s.columns, s.properties, options)
+        if options.correction_type == "print":
+            asked = forest.anchor_features(s.columns, s.properties, options)
+    if options.correct_candidates:
+        if options.correction_type_candidates == "forest":
+            if not trees_candidates:
+                raise ValueError("a forest for candidates is needed")
+            secondary = forest.correct_candidates(forest.candidate_features(s.oriented, s.columns, s.properties, options), trees_candidates, options)
+        else:
+            secondary = rule.candidates(s.oriented, s.columns, s.properties, options)
+            if options.correction_type_candidates == "print":
+                asked_candidates = forest.candidate_features(s.oriented, s.columns, s.properties, options).where("f is not null")
+    return Corrected(rule.combine(materialize(primary, "primary"), secondary, s.reads), asked, asked_candidates)
+
+
+def corrected(reads: DataFrame, options: Options, refine: bool = True, trees: list | None = None, keys: DataFrame | None = None, trees_candidates: list | None = None) -> DataFrame:
+    """read_id, sequence, q for every read."""
+    return correct(reads, options, refine, trees, keys, trees_candidates).results

@@ -83,8 +83,8 @@ _SIGNED = "cast(case when {0} >= 9223372036854775808 then cast({0} as hugeint) -
 
 TABLES: dict[str, str | list[tuple[str, str]]] = {
     "dna": f"select doc_id, {_LETTERS} as s from documents",
-    "perfect": f"""select doc_id * {SPAN} + w as read_id, (doc_id * {SPAN} + w) // 2 as pair_id, cast(w % 2 as integer) as mate, substr(s, w * {READ} + 1, {READ}) as sequence
-        from (select doc_id, s, unnest(range(0, length(s) // {READ})) as w from dna where length(s) >= {READ})""",
+    "perfect": f"""select doc_id * {SPAN} + w as read_id, (doc_id * {SPAN} + w) // 2 as pair_id, cast(w % 2 as integer) as mate, substr(s, least(w * {READ}, length(s) - {READ}) + 1, {READ}) as sequence
+        from (select doc_id, s, unnest(range(0, (length(s) + {READ - 1}) // {READ})) as w from dna where length(s) >= {READ})""",
     "original": f"""select read_id,
             list_aggregate(list_transform(range(1, {READ + 1}), lambda i: case when (read_id * 31 + i * 17) % 97 = 0 then translate(sequence[i], 'ACGT', 'CGTA') else sequence[i] end), 'string_agg', '') as sequence,
             list_aggregate(list_transform(range(1, {READ + 1}), lambda i: chr(cast((read_id + i) % 41 + 33 as integer))), 'string_agg', '') as quality
@@ -208,10 +208,10 @@ def _walk(side: Node | float, feature: str) -> str:
     return f"case when {feature.format(side.attribute + 1)} <= {side.split!r}::double then {_walk(side.left, feature)} else {_walk(side.right, feature)} end"
 
 
-def _forest() -> str:
+def _forest(most: int = 16) -> str:
     from helixforge.plans.queries import TREES
 
-    return "(" + " + ".join(_walk(t, "cast(embedding[{}] as double)") for t in TREES) + f") / {len(TREES)}"
+    return "(" + " + ".join(_walk(t, "cast(embedding[{}] as double)") for t in TREES[:most]) + f") / {len(TREES[:most])}"
 
 
 def _ratio(a: str, b: str) -> str:
@@ -228,21 +228,39 @@ def oracles() -> dict[str, str]:
     return {
         "read_stats": over("perfect", "select coalesce(min(length(sequence)), 2147483647) as min_length, coalesce(max(length(sequence)), 0) as max_length, count(*) as n_reads from perfect"),
         "read_length_hist": over("dna", "select length(s) as len, count(*) as n_reads from dna group by 1"),
-        "format_probe": over("original", "select count(*) filter (where length(quality) = length(sequence)) as n_fastq, count(*) filter (where quality is null) as n_fasta, count(*) as n_reads from original"),
+        "fastq_files": over("original", "select row_number() over (order by read_id) - 1 as read_id, 'read ' || read_id as header, sequence, quality from original"),
+        "gzip_files": over("original", "select row_number() over (order by read_id) - 1 as read_id, 'read ' || read_id as header, sequence, quality from original"),
+        "fasta_files": over("perfect", "select row_number() over (order by read_id) - 1 as read_id, 'read ' || read_id as header, sequence from perfect"),
+        "format_probe": over(
+            "original",
+            """select kind, kind as probed, count(*) as n_reads, count(quality) filter (where kind like 'FASTQ%') as n_qualities
+            from original, (select unnest(['FASTA', 'FASTQ', 'FASTAGZ', 'FASTQGZ']) as kind) group by kind""",
+        ),
+        "pair_files": over(
+            "perfect",
+            """select 2 * (dense_rank() over (order by pair_id) - 1) + mate as read_id, 'read ' || read_id as header, sequence
+            from (select *, count(*) over (partition by pair_id) as n from perfect) where n = 2""",
+        ),
+        "kmer_dump": over("places", "select least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) as kmer, count(*) as count from places group by 1"),
+        "genome_file": over("true_kmers", f"select code, count(*) as n from true_kmers where (read_id % {SPAN}) % 4 = 0 group by code"),
+        "saved_reads": over("original", f"select read_id, sequence, quality from original where read_id >= {10 * SPAN} and read_id < {60 * SPAN}"),
+        "saved_tables": over("keys", "select read_id, map_id, key from keys where map_id < 2"),
+        "saved_results": over("original", "select read_id, sequence, cast(read_id % 4 as integer) as q from original"),
+        "forest_file": f"select vec_id, round({_forest(10)}, 6) as probability from embeddings",
+        "printed_features": _refined(
+            "anchors",
+            """select round(s.support, 5) as support, cast(s.coverage as double) as coverage, round(s.orig_weight / s.total, 5) as orig_share, round(near, 5) as near_support,
+                round(avg_support, 5) as avg_support, round(min_support, 5) as min_support
+            from near join supported s using (anchor_id, col) join props using (anchor_id) where s.anchor_base <> s.consensus""",
+        ),
+        "file_utilities": "select count(*) as n_lines, true as same_size, true as moved, true as removed from orders",
+        "log_scan": over("single", "select ext, anchor_threshold, candidate_threshold, sample, tp, fp, fn, tn from single"),
         "ambiguous_reads": over("ambiguous", "select count(*) filter (where contains(sequence, 'N')) as n_ambiguous, count(*) as n_reads from ambiguous"),
         "exclude_ambiguous": over("ambiguous", "select read_id, sequence from ambiguous where not regexp_matches(sequence, '[^ACGT]')"),
         "read_range": over("perfect", f"select pair_id, count(*) as n_mates, min(sequence) as least from perfect where read_id >= {10 * SPAN} and read_id < {60 * SPAN} group by pair_id"),
         "gather_reads": over("perfect", f"select read_id, sequence, mate from perfect where read_id % {SPAN} = 0"),
         "revcomp": over("ambiguous", "select read_id, reverse(translate(sequence, 'ACGT', 'TGCA')) as revcomp from ambiguous"),
         "encode_2bit": over(
-            "perfect",
-            "select read_id, "
-            + _SIGNED.format("u")
-            + " as code, left(sequence, 32) as decoded, cast(hamming(left(sequence, 32), substr(sequence, 33, 32)) as integer) as distance from (select read_id, sequence, "
-            + " + ".join(f"(instr('ACGT', substr(sequence, {i + 1}, 1)) - 1)::uhugeint * {4 ** (31 - i)}::uhugeint" for i in range(32))
-            + " as u from perfect)",
-        ),
-        "encode_whole": over(
             "perfect",
             "select read_id, concat_ws(',', "
             + ", ".join(
@@ -333,19 +351,18 @@ def oracles() -> dict[str, str]:
                 select r.anchor_id, r.cand_id, string_agg(case when m.col >= r.shift and m.col < r.shift + {READ} then r.sequence[m.col - r.shift + 1] else '-' end, '' order by m.col) as signature
                 from (select distinct anchor_id, col from many) m join rows r using (anchor_id) where r.cand_id is not null group by r.anchor_id, r.cand_id) group by anchor_id, signature""",
         ),
-        "anchor_corrections": over("anchors", "select read_id, is_hq, sequence from anchors"),
-        "candidate_corrections": over("others", "select read_id, anchor_id, sequence from others"),
-        "correction_edits": over(
+        "anchor_corrections": _refined("anchors", "select read_id, is_hq, sequence from anchors"),
+        "candidate_corrections": _refined("others", "select read_id, anchor_id, sequence from others"),
+        "correction_edits": _refined(
             "differing",
             """select read_id, cast(len(places) as integer) as n_edits, case when len(places) <= 16 then coalesce(list_aggregate(list_transform(places, lambda i: i || now[i]), 'string_agg', ','), '') end as edits,
                 case when len(places) > 16 then now end as full from differing""",
         ),
-        "apply_edits": over("anchors", "select read_id, coalesce(a.sequence, o.sequence) as sequence from original o left join anchors a using (read_id)"),
-        "corrected_reads": over("corrected", "select read_id, sequence, q from corrected"),
+        "apply_edits": _refined("anchors", "select read_id, coalesce(a.sequence, o.sequence) as sequence from original o left join anchors a using (read_id)"),
         "refined_msa": _refined("columns", "select anchor_id, col, n_a, n_c, n_g, n_t, w_a, w_c, w_g, w_t, coverage, consensus from columns"),
-        "refined_corrections": _refined("corrected", "select read_id, sequence, q from corrected"),
-        "read_flags": over("anchors", "select read_id, case when is_hq then 1 when is_hq is null then 2 else 0 end as flag from original left join anchors using (read_id)"),
-        "sort_merge_output": over("corrected", "select read_id, 'read ' || read_id || ' correction:q=' || q as header, c.sequence, o.quality from original o join corrected c using (read_id) order by read_id"),
+        "corrected_reads": _refined("corrected", "select read_id, sequence, q from corrected"),
+        "read_flags": _refined("anchors", "select read_id, case when is_hq then 1 when is_hq is null then 2 else 0 end as flag from original left join anchors using (read_id)"),
+        "sort_merge_output": _refined("corrected", "select read_id, 'read ' || read_id || ' correction:q=' || q as header, c.sequence, o.quality from original o join corrected c using (read_id) order by read_id"),
         "union_inputs": over(
             "original",
             """select row_number() over (order by part, read_id) - 1 as read_id, sequence from (select 0 as part, read_id, sequence from perfect union all select 1, read_id, sequence from original)""",
@@ -353,10 +370,10 @@ def oracles() -> dict[str, str]:
         "topn": over("perfect", f"select read_id, sequence from perfect where read_id < {5 * SPAN}"),
         "forest_score": f"select vec_id, round({_forest()}, 6) as probability from embeddings",
         "forest_decide": f"select vec_id, {_forest()} >= 0.5 as accepted from embeddings",
-        "eval_confusion": over("confusion", "select * from confusion"),
-        "eval_metrics": over("confusion", f"select name, {_ratio('tp - fp', 'tp + fn')} as gain, {_ratio('tp', 'tp + fn')} as sensitivity, {_ratio('tn', 'tn + fp')} as specificity from confusion"),
-        "eval_hist": over("hist", "select * from hist"),
-        "eval_over": over("hist", "select name, cast(coalesce(sum(n_reads) filter (where n_errors > 0), 0) as bigint) as n_over from hist group by name"),
+        "eval_confusion": _refined("confusion", "select * from confusion"),
+        "eval_metrics": _refined("confusion", f"select name, {_ratio('tp - fp', 'tp + fn')} as gain, {_ratio('tp', 'tp + fn')} as sensitivity, {_ratio('tn', 'tn + fp')} as specificity from confusion"),
+        "eval_hist": _refined("hist", "select * from hist"),
+        "eval_over": _refined("hist", "select name, cast(coalesce(sum(n_reads) filter (where n_errors > 10), 0) as bigint) as n_over from hist group by name"),
         "kmers_in_genome": _chain(*_needs("kmers"), *_needs("true_kmers"))
         + f""", counts as (select code, count(*) as n from kmers group by code),
             genome as (select distinct code from true_kmers where (read_id % {SPAN}) % 4 = 0)

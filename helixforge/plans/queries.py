@@ -15,15 +15,15 @@ from helixforge.operators import reads as R
 from helixforge.options import Options
 from helixforge.plans import correction
 from helixforge.sources import reads as S
-from helixforge.storage import spread
+from helixforge.storage import materialize, spread
 
 OPTIONS = Options(kmer_length=20, hash_functions=4, estimated_coverage=3.0, correct_candidates=True)
 WINDOW, SKETCH = 50, 8
 
-#: A small forest on six features, made by a rule: tree i asks three features one after another.
+#: A small forest on the 64 components of a vector, made by a rule: tree i asks four of them.
 TREES = [
-    forest.Node(i % 6, -0.05 + 0.02 * i, forest.Node((i + 1) % 6, 0.03 * i - 0.1, 0.125 * (i % 4), 0.25), forest.Node((i + 2) % 6, 0.1 - 0.02 * i, 0.5, forest.Node((i + 3) % 6, 0.0, 0.75, 1.0)))
-    for i in range(8)
+    forest.Node(4 * i, -0.05 + 0.01 * i, forest.Node(4 * i + 1, 0.015 * i - 0.1, 0.125 * (i % 4), 0.25), forest.Node(4 * i + 2, 0.1 - 0.01 * i, 0.5, forest.Node(4 * i + 3, 0.0, 0.75, 1.0)))
+    for i in range(16)
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def perfect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived reads; they are made anew by each branch of a plan, so what reads them several times writes them down."""
     return S.perfect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
@@ -66,13 +67,6 @@ def read_length_hist(spark, sf_dir):
     return R.length_histogram(docs.select(S.letters(F.col("text")).alias("sequence")))
 
 
-@query
-def format_probe(spark, sf_dir):
-    """Reads with and without qualities, as a writer would see them."""
-    own = original(spark, sf_dir)
-    return own.agg(F.count_if(F.length("quality") == F.length("sequence")).alias("n_fastq"), F.count_if(F.col("quality").isNull()).alias("n_fasta"), F.count("*").alias("n_reads"))
-
-
 @query
 def ambiguous_reads(spark, sf_dir):
     return S.ambiguous(perfect(spark, sf_dir)).agg(F.count_if("has_n").alias("n_ambiguous"), F.count("*").alias("n_reads"))
@@ -108,14 +102,6 @@ def revcomp(spark, sf_dir):
 
 @query
 def encode_2bit(spark, sf_dir):
-    """The first 32 letters as a long and back, and the planes' distance to the next 32."""
-    a, b = F.substring("sequence", 1, 32), F.substring("sequence", 33, 32)
-    code = sequence.encode(a)
-    return perfect(spark, sf_dir).select("read_id", code.alias("code"), sequence.decode(code, 32).alias("decoded"), sequence.plane_distance(sequence.planes(a), sequence.planes(b)).cast("int").alias("distance"))
-
-
-@query
-def encode_whole(spark, sf_dir):
     """Whole reads as longs and back, and the planes' distance to their reverse complements."""
     own = F.col("sequence")
     coded = perfect(spark, sf_dir).withColumn("codes", sequence.encode_all(own))
@@ -324,8 +310,10 @@ def filtered_candidates(spark, sf_dir):
 # --- alignments of many ---
 
 
-def _steps(spark, sf_dir, **more):
-    return correction.steps(original(spark, sf_dir), replace(OPTIONS, **more), refine=False)
+def _steps(spark, sf_dir, refine=False, **more):
+    """Columns before candidates of other regions are dropped are what the operators on columns are shown on; corrections are
+    made after that."""
+    return correction.steps(original(spark, sf_dir), replace(OPTIONS, **more), refine)
 
 
 COLUMNS = ["anchor_id", "col", "n_a", "n_c", "n_g", "n_t", "w_a", "w_c", "w_g", "w_t", "coverage", "consensus"]
@@ -380,24 +368,19 @@ def candidate_clusters(spark, sf_dir):
 
 @query
 def anchor_corrections(spark, sf_dir):
-    s = _steps(spark, sf_dir)
+    s = _steps(spark, sf_dir, True)
     return correct.anchors(s.columns, s.properties, OPTIONS)
 
 
 @query
 def candidate_corrections(spark, sf_dir):
-    s = _steps(spark, sf_dir)
+    s = _steps(spark, sf_dir, True)
     return correct.candidates(s.oriented, s.columns, s.properties, OPTIONS)
 
 
-def _corrected(spark, sf_dir):
-    return correction.corrected(original(spark, sf_dir), OPTIONS, refine=False)
-
-
 def _edits(spark, sf_dir):
-    own = plain(spark, sf_dir)
-    s = _steps(spark, sf_dir)
-    return correct.edits(correct.anchors(s.columns, s.properties, OPTIONS), own, OPTIONS), own
+    s = _steps(spark, sf_dir, True)
+    return correct.edits(correct.anchors(s.columns, s.properties, OPTIONS), s.reads, OPTIONS), s.reads
 
 
 @query
@@ -415,7 +398,8 @@ def apply_edits(spark, sf_dir):
 
 @query
 def corrected_reads(spark, sf_dir):
-    return _corrected(spark, sf_dir)
+    """Corrected reads as the engine makes them by default: with refinement."""
+    return correction.corrected(original(spark, sf_dir), OPTIONS)
 
 
 @query
@@ -424,23 +408,17 @@ def refined_msa(spark, sf_dir):
     return correction.steps(original(spark, sf_dir), OPTIONS).columns.select(*COLUMNS)
 
 
-@query
-def refined_corrections(spark, sf_dir):
-    """Corrected reads as the engine makes them by default: with refinement."""
-    return correction.corrected(original(spark, sf_dir), OPTIONS)
-
-
 @query
 def read_flags(spark, sf_dir):
-    s = _steps(spark, sf_dir)
-    return correct.flags(correct.anchors(s.columns, s.properties, OPTIONS), plain(spark, sf_dir))
+    s = _steps(spark, sf_dir, True)
+    return correct.flags(correct.anchors(s.columns, s.properties, OPTIONS), s.reads)
 
 
 @query
 def sort_merge_output(spark, sf_dir):
     """The records as they are written, by id."""
-    own = original(spark, sf_dir).withColumn("header", F.concat(F.lit("read "), F.col("read_id").cast("string")))
-    merged = correct.merge(own, correction.corrected(own, OPTIONS, refine=False), replace(OPTIONS, label_quality=True))
+    own = materialize(original(spark, sf_dir).withColumn("header", F.concat(F.lit("read "), F.col("read_id").cast("string"))), "original")
+    merged = correct.merge(own, correction.corrected(own, OPTIONS), replace(OPTIONS, label_quality=True))
     return merged.orderBy("read_id")
 
 
@@ -462,7 +440,7 @@ def topn(spark, sf_dir):
 
 def _features(spark, sf_dir):
     own = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return own, [F.col("embedding")[i].cast("double") for i in range(6)]
+    return own, [F.get("embedding", F.lit(i)).cast("double") for i in range(64)]
 
 
 @query
@@ -481,8 +459,9 @@ def forest_decide(spark, sf_dir):
 
 
 def _judged(spark, sf_dir):
-    own = plain(spark, sf_dir)
-    rows = evaluate.aligned(own, perfect(spark, sf_dir), {"corrected": _corrected(spark, sf_dir), "original": own})
+    true = materialize(perfect(spark, sf_dir).select("read_id", "sequence"), "perfect")
+    own = materialize(S.original(true).drop("quality"), "original")
+    rows = evaluate.aligned(own, true, {"corrected": correction.corrected(own, OPTIONS), "original": own})
     return evaluate.per_read(rows)
 
 
@@ -503,23 +482,22 @@ def eval_hist(spark, sf_dir):
 
 @query
 def eval_over(spark, sf_dir):
-    return evaluate.over(evaluate.histogram(_judged(spark, sf_dir)), 0)
+    return evaluate.over(evaluate.histogram(_judged(spark, sf_dir)))
 
 
 @query
 def kmers_in_genome(spark, sf_dir):
     """Counts of the reads' k-mers that the genome has, and of those it has not."""
     k = OPTIONS.kmer_length
-    all_reads = perfect(spark, sf_dir)
-    counts = kmers.kmer_counts(plain(spark, sf_dir), k)
-    inside = kmers.in_genome(counts, kmers.canonical_kmers(S.genome(all_reads), k)).agg(F.count("*").alias("n_in"), F.sum("n").alias("weight_in"))
-    return inside.crossJoin(counts.agg(F.count("*").alias("n_all"), F.sum("n").alias("weight_all")))  # two rows of sums
+    true = materialize(perfect(spark, sf_dir).select("read_id", "sequence"), "perfect")
+    return kmers.genome_share(kmers.kmer_counts(S.original(true), k), kmers.kmer_counts(S.genome(true), k))
 
 
 @query
 def lost_kmers(spark, sf_dir):
     k = OPTIONS.kmer_length
-    return kmers.lost(kmers.canonical_kmers(perfect(spark, sf_dir), k), kmers.canonical_kmers(plain(spark, sf_dir), k))
+    true = materialize(perfect(spark, sf_dir).select("read_id", "sequence"), "perfect")
+    return kmers.lost(kmers.kmer_counts(true, k), kmers.kmer_counts(S.original(true), k))
 
 
 # --- runs ---

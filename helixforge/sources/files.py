@@ -30,6 +30,28 @@ def size(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
+def parts(spark: SparkSession, path: str) -> list[str]:
+    """The files that a write has made in a folder, in order."""
+    p, fs = locate(spark, path)
+    names = [s.getPath().toString() for s in fs.listStatus(p) if s.isFile()]
+    return sorted(n for n in names if n.rsplit("/", 1)[1].startswith("part-"))
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file, such as a forest's, from the driver."""
+    p, fs = locate(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    p, fs = locate(spark, path)
+    fs.mkdirs(p)
+
+
 def rename(spark: SparkSession, path: str, to: str) -> None:
     p, fs = locate(spark, path)
     if not fs.rename(p, locate(spark, to)[0]):

@@ -7,10 +7,12 @@ pair_id = read_id div 2, mate = read_id % 2.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
 from helixforge.functions.sequence import has_ambiguous
 from helixforge.sources import files
+from helixforge.storage import materialize
 
 READ, SPAN = 100, 1 << 20  #: length of derived reads; ids that a document has at most
 GENOME_EVERY = 4
@@ -21,22 +23,17 @@ GENOME_EVERY = 4
 
 def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file (place in paths), line (from 0), value.  Lines are numbered without a sort or a single task: each split counts
-    its lines, and the counts of a file's splits, of which there are few, give where a split begins."""
-    parts = []
+    its lines, and the counts of a file's splits give where a split begins.  The lines are written down first, so that their
+    numbers are those that were counted."""
+    every = None
     for i, path in enumerate(paths):
         rows = _text(spark, path).select(F.lit(i).alias("file"), "part", "split", "value")
-        parts.append(rows)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-    every = every.withColumn("m", F.monotonically_increasing_id())
+        every = rows if every is None else every.unionAll(rows)
+    every = materialize(every.withColumn("m", F.monotonically_increasing_id()), "lines")
     counts = every.groupBy("file", "part", "split").agg(F.count("*").alias("n"), F.min("m").alias("first"))
-    table, at = [], {}
-    for r in sorted(counts.collect(), key=lambda r: (r["file"], r["part"], r["split"])):  # a row for each split of the input
-        table.append((r["file"], r["part"], r["split"], at.get(r["file"], 0), r["first"]))
-        at[r["file"]] = at.get(r["file"], 0) + r["n"]
-    starts = spark.createDataFrame(table, "file int, part string, split long, start long, first long")
-    return every.join(F.broadcast(starts), ["file", "part", "split"]).select("file", (F.col("start") + F.col("m") - F.col("first")).alias("line"), "value")
+    before = Wd.partitionBy("file").orderBy("part", "split").rowsBetween(Wd.unboundedPreceding, -1)  # a row for each split
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return every.join(starts, ["file", "part", "split"]).select("file", (F.col("start") + F.col("m") - F.col("first")).alias("line"), "value")
 
 
 def is_gzip(spark: SparkSession, path: str) -> bool:
@@ -52,23 +49,13 @@ def is_gzip(spark: SparkSession, path: str) -> bool:
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame:
-    """part, split, value.  A gzip file whose name does not say so is inflated by one task (it could not be split anyway)."""
-    if path.endswith(".gz") or not files.exists(spark, path) or not is_gzip(spark, path):
-        return spark.read.text(path).select(F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("split"), "value")
-
-    def inflate(batches):
-        import gzip
-        import io
-
-        import pyarrow as pa
-
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with gzip.open(io.BytesIO(content), "rt", newline="\n") as lines:
-                    while some := [line.rstrip("\n") for _, line in zip(range(50_000), lines)]:
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array([0] * len(some), pa.int64()), pa.array(some)], names=["part", "split", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(inflate, "part string, split long, value string")
+    """part, split, value.  A gzip file whose name does not say so is copied under a name that does, so that its codec streams
+    it; no task holds a whole file."""
+    if not path.endswith(".gz") and files.exists(spark, path) and is_gzip(spark, path):
+        named = files.temporary(spark, "gzip") + ".gz"
+        files.copy(spark, path, named)
+        path = named
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("split"), "value")
 
 
 def has_quality(spark: SparkSession, path: str) -> bool:
@@ -157,16 +144,16 @@ def letters(text: Column) -> Column:
 
 
 def perfect(documents: DataFrame) -> DataFrame:
-    """read_id, pair_id, mate, sequence: every text cut into reads of READ letters one after another (a shorter rest is no
-    read).  read_id = doc_id * SPAN + place."""
+    """read_id, pair_id, mate, sequence: every text cut into reads of READ letters one after another; the last one ends with
+    the text, and so overlaps the one before.  A text of fewer letters is no read.  read_id = doc_id * SPAN + place."""
     dna = documents.select("doc_id", letters(F.col("text")).alias("s")).where(F.length("s") >= READ)
-    each = dna.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.floor(F.length("s") / READ).cast("int") - 1)).alias("w"))
+    each = dna.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.ceil(F.length("s") / READ).cast("int") - 1)).alias("w"))
     read_id = F.col("doc_id") * SPAN + F.col("w")
     return each.select(
         read_id.alias("read_id"),
         F.floor(read_id / 2).alias("pair_id"),
         (F.col("w") % 2).alias("mate"),
-        F.substr("s", F.col("w") * READ + 1, F.lit(READ)).alias("sequence"),
+        F.substr("s", F.least(F.col("w") * READ, F.length("s") - READ) + 1, F.lit(READ)).alias("sequence"),
     )
 
 

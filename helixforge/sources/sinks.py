@@ -45,6 +45,16 @@ def load_reads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_results(results: DataFrame, path: str) -> None:
+    """Corrections (read_id, sequence, q) in ranges of read_id, so that the merge with the reads can skip files."""
+    n = int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    results.repartitionByRange(n, "read_id").sortWithinPartitions("read_id").write.parquet(path)
+
+
+def load_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def save_tables(keys: DataFrame, path: str) -> None:
     """map_id, key, read_id in a folder for each map."""
     keys.write.partitionBy("map_id").parquet(path)

@@ -12,8 +12,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder if all runs on this machine (tests), and an error on a
+    cluster, whose machines would not see each other's folders."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="helixforge-")
         spark.conf.set("spark.checkpoint.dir", named)

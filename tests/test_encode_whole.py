@@ -20,7 +20,7 @@ def test_sequences_of_every_length(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-def test_encode_whole_equals_its_sql(spark, duck):  # noqa: F811
-    found = duck.execute(oracle.oracles()["encode_whole"])
-    df = queries.QUERIES["encode_whole"](spark, DATA).select(*[d[0] for d in found.description])
+def test_encoding_whole_reads_equals_its_sql(spark, duck):  # noqa: F811
+    found = duck.execute(oracle.oracles()["encode_2bit"])
+    df = queries.QUERIES["encode_2bit"](spark, DATA).select(*[d[0] for d in found.description])
     assert sorted(map(tuple, df.collect())) == sorted(found.fetchall())

@@ -9,7 +9,10 @@ import __spark_entry__ as entry
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries whose plans hold those of most others; TEST_ALL_QUERIES=1 runs them all.
-SOME = """read_stats read_length_hist format_probe ambiguous_reads exclude_ambiguous read_range gather_reads revcomp encode_2bit quality_weight quality_from_weight
+#: What SQL cannot express; tests of the operators hold it.
+NO_SQL = {"trained_forest"}
+SOME = """read_stats read_length_hist format_probe fastq_files gzip_files fasta_files pair_files kmer_dump genome_file saved_reads saved_tables saved_results forest_file
+    printed_features file_utilities log_scan corrected_reads eval_over ambiguous_reads exclude_ambiguous read_range gather_reads revcomp encode_2bit quality_weight quality_from_weight
     requantized_quality murmur64 kmer_spectrum minhash_windowed bottom_n_sketch paired_candidates prefix_offsets segment_ids adjacent_unique flagged_select
     filtered_candidates msa_consensus candidate_corrections sort_merge_output eval_metrics union_inputs forest_score forest_decide lost_kmers kmers_in_genome
     murmur32 shifted_bits scattered_rows bit_members strided_ids last_wins common_samples required_samples frontier frontier_global""".split()
@@ -36,10 +39,10 @@ def duck():
 
 def test_every_query_has_its_sql():
     ours = {n for n in entry.queries() if not n.startswith("op") and n != "pipeline"}
-    assert ours <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(entry.queries())
+    assert ours - NO_SQL <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("op") and n != "pipeline") if os.environ.get("TEST_ALL_QUERIES") else SOME)
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("op") and n != "pipeline" and n not in NO_SQL) if os.environ.get("TEST_ALL_QUERIES") else SOME)
 def test_query_equals_its_sql(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     found = duck.execute(entry.oracle_sql()[name])
