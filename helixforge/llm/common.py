@@ -51,7 +51,7 @@ def bitmap(keys: DataFrame, key: Column) -> tuple[int, DataFrame]:
     many = keys.count()
     if many > MOST_BITS:
         return 0, keys
-    size = max(1 << 12, min(MOST_BITS, 1 << (16 * max(1, many)).bit_length()))
+    size = max(1 << 12, min(MOST_BITS, 1 << (8 * max(1, many)).bit_length()))
     place = F.pmod(key, F.lit(size))
     words = keys.select(F.floor(place / 64).alias("__w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("__b"))
     return size, words.groupBy("__w").agg(F.bit_or("__b").alias("__b"))
@@ -69,15 +69,19 @@ def marked(rows: DataFrame, key: Column, bits: tuple[int, DataFrame]) -> DataFra
     return both.withColumn("hit", F.coalesce(F.col("__b").bitwiseAND(bit) != 0, F.lit(False))).drop("__w", "__p", "__b")
 
 
-#: A key with over one in HOT of all rows is common: there are at most HOT such keys, and they go to all tasks.
-HOT = 4096
+#: A key with over one in HOT of all rows, and over FEW, is common: there are at most HOT such keys, and each is dealt out to
+#: SALTS tasks.
+HOT, FEW, SALTS = 4096, 1024, 256
 
 
 def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], total: int, n: str = "n") -> DataFrame:
     """The inner join of rows with counted, which has each key once and in n how many rows have it; total is the sum of n.
-    Rows of common keys stay where they are, so no key's rows meet in one task."""
-    least = max(1, total // HOT)
-    common = counted.where(F.col(n) > least)
-    stay = rows.join(F.broadcast(common), on)
-    go = rows.join(F.broadcast(common.select(*on)), on, "left_anti").join(counted.where(F.col(n) <= least), on)
-    return stay.unionByName(go)
+    The few common keys go to all tasks, which give their rows a salt, by the rows' other columns; so no key's rows meet in one
+    task.  (Rows that are equal in all columns have one salt.)"""
+    common = F.col(n) > max(FEW, total // HOT)
+    hot = F.broadcast(counted.where(common).select(*on, F.lit(True).alias("__hot")))
+    own = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]), F.lit(SALTS))
+    none = F.lit(0).cast("long")
+    salted = rows.join(hot, on, "left").withColumn("__salt", F.when(F.col("__hot"), own).otherwise(none)).drop("__hot")
+    every = F.when(common, F.sequence(none, F.lit(SALTS - 1).cast("long"))).otherwise(F.array(none))
+    return salted.join(counted.withColumn("__salt", F.explode(every)), [*on, "__salt"]).drop("__salt")

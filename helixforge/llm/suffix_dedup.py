@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 from .common import bitmap, join_counted, marked, materialize, n_buckets, ready
 
 LENGTH, GRAM = 100, 24
-#: runs in a bin, in a shard of a bin, and of one anchor in one task
-BIN, SHARD, MOST = 8_192, 512, 8_192
+#: runs in a bin, bytes of a shard, and runs of one anchor in one task
+BIN, SHARD, MOST = 16_384, 1 << 16, 16_384
 CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -81,6 +81,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of each GRAM bytes (a multiple of eight), eight bytes at a time."""
+    n = len(data) - GRAM + 1
+    padded = np.ascontiguousarray(data)
+    out = np.zeros(n, np.uint64)
+    for k in range(0, GRAM, 8):
+        out = (out ^ np.ndarray((n,), "<u8", padded, k, (1,))) * _BASE
+        out ^= out >> np.uint64(32)
+    return mixed(out)
+
+
 def least_in(keys: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` successive keys, from running minima of blocks, forwards and backwards."""
     n = len(keys)
@@ -99,11 +110,14 @@ def runs_of(buffer: np.ndarray, firsts: np.ndarray, ends: np.ndarray):
     none = np.zeros(0, np.int64)
     if len(buffer) < LENGTH:
         return none, none, none, none
-    grams = Hashes(buffer).grams(GRAM)
+    grams = gram_hashes(buffer)
     place = np.arange(len(grams), dtype=np.uint64)
     anchor = (least_in((grams & ~_LOW) | place, LENGTH - GRAM + 1) & _LOW).astype(np.int64)
-    piece = np.searchsorted(ends, np.arange(len(anchor)), side="right")
-    at = np.flatnonzero(np.arange(len(anchor)) + LENGTH <= ends[np.minimum(piece, len(ends) - 1)])
+    piece = np.repeat(np.arange(len(ends)), ends - firsts)[: len(anchor)]
+    whole = np.ones(len(anchor), bool)
+    for e in ends[:-1].tolist():
+        whole[max(0, e - LENGTH + 1) : e] = False  # windows that would go beyond their piece
+    at = np.flatnonzero(whole)
     if not len(at):
         return none, none, none, none
     new = np.concatenate([[True], (np.diff(anchor[at]) != 0) | (np.diff(piece[at]) != 0)])
@@ -117,34 +131,38 @@ def runs_of(buffer: np.ndarray, firsts: np.ndarray, ends: np.ndarray):
 
 class Shard(NamedTuple):
     """before: the transform, a byte (plus one; zero is the sentinel) for each suffix in order.  longer: the place, in that
-    order, of the suffix that is longer by that byte.  ends: the places where windows end.  window: for each place the number of
-    the window that starts there (as if windows of all strings were numbered on)."""
+    order, of the suffix that is longer by that byte.  rank: the place of the suffix that begins at a position."""
 
     before: np.ndarray
     longer: np.ndarray
-    ends: np.ndarray
-    window: np.ndarray
-
-
-def sorted_suffixes(t: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """The suffixes of t, each up to its sentinel (zero, `left` bytes on), in order; equal ones by their place.  The first
-    seven bytes are compared as one number; then what is tied is ranked by ranks, over twice as many bytes each time."""
-    n, known = len(t), 7
-    own = t.astype(np.uint64) << np.uint64(54)
-    key, more = own.copy(), t[:-1] != 0
-    for _ in range(known - 1):
-        key[:-1] = own[:-1] | (key[1:] >> np.uint64(9)) * more
+    rank: np.ndarray
+
+
+def _alone(new: np.ndarray) -> np.ndarray:
+    """Where new says which rows begin a block: the rows that are a block by themselves."""
+    out = new.copy()
+    out[:-1] &= new[1:]
+    return out
+
+
+def sorted_suffixes(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of t in the order of their first `depth` bytes at least, and the place of each in it.  The first eight
+    bytes (four of a wider kind) are compared as one number; then what is tied is ranked by ranks, over twice as many each
+    time."""
+    n, wide = len(t), t.dtype.itemsize
+    known = 8 // wide
+    padded = np.zeros(n + known, t.dtype.newbyteorder(">"))
+    padded[:n] = t
+    key = np.ndarray((n,), ">u8", padded, 0, (wide,)).astype(np.uint64)
     order = np.argsort(key)
     key = key[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # the place of the first of equal ones
     at = np.flatnonzero(~_alone(new))
-    longest = int(left.max()) + 1 if n else 0
-    while len(at):
+    while len(at) and known < depth:
         p = order[at]
-        on = np.where(left[p] >= known, rank[np.minimum(p + known, n - 1)] + 1, 0) if known < longest else p
-        key = (rank[p] << 32) | on
+        key = (rank[p] << 32) | np.where(p + known < n, rank[np.minimum(p + known, n - 1)] + 1, 0)
         by = np.argsort(key)
         p, key = p[by], key[by]
         new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -152,79 +170,115 @@ def sorted_suffixes(t: np.ndarray, left: np.ndarray) -> np.ndarray:
         rank[p] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
         at = at[~_alone(new)]
         known *= 2
-    return order
-
-
-def _alone(new: np.ndarray) -> np.ndarray:
-    """Where new says which rows begin a block: the rows that are a block by themselves."""
-    out = new.copy()
-    out[:-1] &= new[1:]
-    return out
+    rank[order] = np.arange(n)
+    return order, rank
 
 
-def transform(strings: list[bytes], length: int = LENGTH) -> Shard:
-    """The transform of a shard's strings, none shorter than length."""
-    size = np.fromiter(map(len, strings), np.int64, len(strings))
-    data = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)
+def transform(texts: list[bytes], depth: int = 2 * LENGTH) -> Shard:
+    """The transform of a shard's texts, a sentinel after each."""
+    data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
     is_end = np.zeros(len(data), bool)
-    is_end[np.cumsum(size + 1) - 1] = True
+    is_end[np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1] = True
     # bytes plus one; a text in UTF-8 has no byte 255, but strings may be any
-    t = data + np.uint8(1) if not (data[~is_end] == 255).any() else data.astype(np.uint16) + np.uint16(1)
+    t = data + np.uint8(1) if np.count_nonzero(data == 255) == len(texts) else data.astype(np.uint16) + np.uint16(1)
     t[is_end] = 0
-    left = np.repeat(np.cumsum(size + 1) - 1, size + 1) - np.arange(len(t))
-    order = sorted_suffixes(t, left)
-    before = t[order - 1]
-    longer = np.empty(len(t), np.int32)
-    longer[np.argsort(before, kind="stable")] = np.arange(len(t), dtype=np.int32)  # counted out by the byte before
-    into = np.repeat(size, size + 1) - left  # place in its string
-    windows = size - length + 1
-    number = np.repeat(np.cumsum(windows) - windows, size + 1) + into
-    return Shard(before, longer, np.flatnonzero(into[order] >= length), number[order])
-
-
-def merge(shards: list[Shard], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Interleaves the shards' transforms -> the windows (numbered through all shards) that are equal to another one, in the
-    order of their bytes, and for each the number of its interval of equal windows."""
-    sizes = [len(s.before) for s in shards]
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    before = np.concatenate([s.before for s in shards])
-    longer = np.concatenate([s.longer + f for s, f in zip(shards, first.tolist())]).astype(np.int32)
-    each = [len(s.ends) for s in shards]  # as many windows as ends of windows
-    window = np.concatenate([s.window + f for s, f in zip(shards, (np.cumsum(each) - each).tolist())])
-    now = np.concatenate([s.ends + f for s, f in zip(shards, first.tolist())]).astype(np.int32)
-    block = np.zeros(len(now), np.int32)
-    for n in range(1, length + 1):
-        if not len(now):
-            break
-        byte = before[now]
-        to = np.argsort(byte, kind="stable")  # of small numbers: a counting pass, not a sort by comparison
-        byte, block, now = byte[to], block[to], longer[now[to]]
-        new = np.concatenate([[True], (block[1:] != block[:-1]) | (byte[1:] != byte[:-1])])
-        if n % 4 == 0 or n == length:
-            stays = ~_alone(new)
-            now, new = now[stays], new[stays]
-        block = np.cumsum(new, dtype=np.int32)
-    return window[now], block
-
-
-def repeated(strings: list[bytes], doc: np.ndarray, dh: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Runs, as strings from `start` of their documents -> for each window of each run, in order, whether an equal window starts
-    earlier.  The same place may be there several times."""
-    own = np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1
-    hit = np.zeros(int(own.sum()), bool)
-    if not len(strings):
-        return hit
-    windows, block = merge([transform(strings[i : i + SHARD]) for i in range(0, len(strings), SHARD)])
-    if len(windows):
-        sort = np.lexsort((dh, doc))
-        document = np.empty(len(sort), np.int64)
-        document[sort] = np.cumsum(np.concatenate([[False], (np.diff(doc[sort]) != 0) | (np.diff(dh[sort]) != 0)]))
-        of = np.repeat(np.arange(len(own)), own)[windows]
-        place = (document[of] << 32) | (start[of] + windows - (np.cumsum(own) - own)[of])
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(block) != 0]))
-        least = np.repeat(np.minimum.reduceat(place, heads), np.diff(np.append(heads, len(block))))
-        hit[windows[place > least]] = True
-    return hit
+    order, rank = sorted_suffixes(t, depth)
+    return Shard(t[order - 1], rank[order - 1].astype(np.int32), rank.astype(np.int32))
+
+
+class Merge:
+    """The merge of some shards' transforms.  Positions and places are numbered on through all shards."""
+
+    def __init__(self, shards: list[Shard]) -> None:
+        first = (np.cumsum([len(s.before) for s in shards]) - [len(s.before) for s in shards]).tolist()
+        self.before = np.concatenate([s.before for s in shards])
+        self.longer = np.concatenate([s.longer + np.int32(f) for s, f in zip(shards, first)])
+        self.rank = np.concatenate([s.rank + np.int32(f) for s, f in zip(shards, first)])
+
+    def refine(self, ends: np.ndarray, life: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Strings of `life` bytes before the positions `ends` -> those that are equal to another one, interval after interval, and
+        the number of the interval of each.  One shard's strings come after another's, each in their shard's order; a
+        round moves every string to its suffix that is longer by a byte, in the order of these bytes."""
+        who = np.argsort(self.rank[ends], kind="stable").astype(np.int32)
+        now, block = self.rank[ends[who]], np.zeros(len(who), np.int32)
+        least, most = (int(life.min()), int(life.max())) if len(life) else (0, 0)
+        found, of, numbered = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        for n in range(1, most + 1):
+            if not len(now):
+                break
+            byte = self.before[now]
+            to = np.argsort(byte, kind="stable")  # of small numbers: a counting pass, not a sort by comparison
+            byte, block, now, who = byte[to], block[to], self.longer[now[to]], who[to]
+            new = np.concatenate([[True], (block[1:] != block[:-1]) | (byte[1:] != byte[:-1])])
+            block = np.cumsum(new, dtype=np.int32)
+            if n >= least:
+                done = life[who] == n
+                ready, number = who[done], block[done]
+                if len(ready):
+                    single = _alone(np.concatenate([[True], number[1:] != number[:-1]]))
+                    found.append(ready[~single])
+                    of.append(number[~single].astype(np.int64) + numbered)
+                    numbered += int(number[-1]) + 1
+                    now, who, block = now[~done], who[~done], block[~done]
+            if n % 4 == 0 and len(now):
+                stays = ~_alone(np.concatenate([[True], block[1:] != block[:-1]]))
+                now, who, block = now[stays], who[stays], block[stays]
+        return np.concatenate(found), np.concatenate(of)
+
+
+def _earlier(found: np.ndarray, of: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals of equal strings and the strings' places -> the strings that are repeated, and those that are there again at
+    the place of the earliest."""
+    if not len(found):
+        return found, found
+    heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    own, width = place[found], np.diff(np.append(heads, len(of)))
+    least = np.repeat(np.minimum.reduceat(own, heads), width)
+    first = own == least
+    lead = np.repeat(np.minimum.reduceat(np.where(first, np.arange(len(of)), len(of)), heads), width)
+    return found[~first], found[first & (np.arange(len(of)) != lead)]
+
+
+def repeated(texts: list[bytes], text: np.ndarray, at: np.ndarray, own: np.ndarray, h: np.ndarray, document: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of `own` windows, at `at` of texts[text] and from `start` of their documents (numbered in order) -> for each window of
+    each run, in order, whether an equal window starts earlier; and the runs that are there a second time.
+
+    First the interleave is refined over whole runs: runs of one length that stay together to their first byte are equal,
+    and all windows of all but the earliest are repeated.  Then over single windows, of the earliest runs of those anchors
+    that have several."""
+    hit, second = np.zeros(int(own.sum()), bool), np.zeros(len(own), bool)
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    first = np.cumsum(size) - size
+    cuts = np.flatnonzero(np.diff(first // SHARD, prepend=-1)).tolist() if len(texts) else []
+    if not cuts:
+        return hit, second
+    shards = Merge([transform(texts[i:j]) for i, j in zip(cuts, [*cuts[1:], len(texts)])])
+    position, number = first[text] + at, np.cumsum(own) - own
+    again, second_runs = _earlier(*shards.refine(position + own + LENGTH - 1, own + LENGTH - 1), (document << 32) | start)
+    second[second_runs] = True
+    whole = second.copy()
+    whole[again] = True
+    hit[np.repeat(number[again], own[again]) + _counts(own[again])] = True
+    left = np.flatnonzero(~whole)
+    _, inverse, count = np.unique(h[left], return_inverse=True, return_counts=True)
+    left = left[count[inverse] > 1]
+    into, of = _counts(own[left]), np.repeat(left, own[left])
+    windows, _ = _earlier(*shards.refine(position[of] + into + LENGTH, np.full(len(of), LENGTH)), (document[of] << 32) | (start[of] + into))
+    hit[(number[of] + into)[windows]] = True
+    return hit, second
+
+
+def _counts(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of several sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _numbered(doc: np.ndarray, dh: np.ndarray) -> np.ndarray:
+    """The number of each row's document in the order of (doc, dh)."""
+    sort = np.lexsort((dh, doc))
+    out = np.empty(len(sort), np.int64)
+    out[sort] = np.cumsum(np.concatenate([[False], (np.diff(doc[sort]) != 0) | (np.diff(dh[sort]) != 0)])) if len(sort) else 0
+    return out
 
 
 def _stretches(hit: np.ndarray, own: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,7 +288,7 @@ def _stretches(hit: np.ndarray, own: np.ndarray, start: np.ndarray) -> tuple[np.
     new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(of[at]) != 0)]) if len(at) else np.zeros(0, bool)
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(at)) - 1 if len(at) else heads
-    shift = (start - (np.cumsum(own) - own))[of[at[heads]]] if len(at) else heads
+    shift = (start - (np.cumsum(own) - own))[of[at[heads]]]
     return of[at[heads]], at[heads] + shift, at[tails] + shift
 
 
@@ -265,23 +319,23 @@ def _chunks(texts: pa.Array):
         yield held
 
 
-def _merged_chunk(data: bytes, doc: np.ndarray, dh: np.ndarray, shift: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray):
-    """Runs a..b of a chunk's buffer, at a - shift of their documents -> which windows of the buffer (by their first byte) are
-    repeated in it, and the runs that are left."""
-    gone = np.zeros(len(data), bool)
+def _merged_chunk(data: bytes, piece: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray, document: np.ndarray, start: np.ndarray):
+    """Runs a..b of a chunk's buffer, from `start` of their documents -> which windows of the buffer (by their first byte) are
+    repeated in it, and the stretches of windows that are left.  Runs that follow one another are one text of the merge."""
+    gone, left = np.zeros(len(data), bool), np.ones(len(data), bool)
     _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
     some = np.flatnonzero(count[inverse] > 1)
-    if not len(some):
-        return gone, np.arange(len(h)), a, b
-    some = some[np.argsort(h[some], kind="stable")]
-    for i in range(0, len(some), BIN):
-        part = some[i : i + BIN]
-        hit = repeated([data[x : y + LENGTH] for x, y in zip(a[part].tolist(), b[part].tolist())], doc[part], dh[part], (a - shift)[part])
-        own = b[part] - a[part] + 1
-        gone[(np.repeat(a[part] - (np.cumsum(own) - own), own) + np.arange(own.sum()))[hit]] = True
+    if len(some):
+        new = np.concatenate([[True], (a[some][1:] != b[some][:-1] + 1) | (np.diff(piece[some]) != 0)])
+        text, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+        begins, stops = a[some][heads], b[some][np.append(heads[1:], len(some)) - 1] + LENGTH
+        own = b[some] - a[some] + 1
+        hit, second = repeated([data[x:y] for x, y in zip(begins.tolist(), stops.tolist())], text, a[some] - begins[text], own, h[some], document[some], start[some])
+        at = np.repeat(a[some], own) + _counts(own)
+        gone[at[hit]] = True
+        left[at[hit | np.repeat(second, own)]] = False
     own = b - a + 1
-    at = np.repeat(a - (np.cumsum(own) - own), own) + np.arange(own.sum())
-    of, first, last = _stretches(~gone[at], own, a)
+    of, first, last = _stretches(left[np.repeat(a, own) + _counts(own)], own, a)
     return gone, of, first, last
 
 
@@ -299,7 +353,7 @@ def runs(documents: DataFrame) -> DataFrame:
                 data = b"".join(p for _, _, p in chunk)
                 piece, a, b, h = runs_of(np.frombuffer(data, np.uint8), firsts, ends)
                 shift = firsts - offsets
-                gone, left, a, b = _merged_chunk(data, ids[rows[piece]], hashes[rows[piece]], shift[piece], a, b, h)
+                gone, left, a, b = _merged_chunk(data, piece, a, b, h, _numbered(ids[rows[piece]], hashes[rows[piece]]), a - shift[piece])
                 piece, h = piece[left], h[left]
                 at, width = np.flatnonzero(gone), ends - firsts
                 of = np.searchsorted(ends, at, side="right")
@@ -318,8 +372,8 @@ def runs(documents: DataFrame) -> DataFrame:
 
 def contexts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of runs (h, n, doc, dh, a, b): h, n, doc, dh, a, s.  Only documents with such runs are shuffled."""
-    listed = wanted.groupBy("doc", "dh").agg(F.collect_set(F.struct("h", "n", "a", "b")).alias("runs"))
-    some = marked(documents, F.xxhash64("doc", "dh"), bitmap(wanted.select("doc", "dh").distinct(), F.xxhash64("doc", "dh"))).where("hit").drop("hit")
+    listed = materialize(wanted.groupBy("doc", "dh").agg(F.collect_set(F.struct("h", "n", "a", "b")).alias("runs")), "suffix-wanted")
+    some = marked(documents, F.xxhash64("doc", "dh"), bitmap(listed.select("doc", "dh"), F.xxhash64("doc", "dh"))).where("hit").drop("hit")
     both = some.dropDuplicates(["doc", "dh"]).join(listed, ["doc", "dh"]).select("doc", "dh", "bytes", "runs")
 
     def run(batches):
@@ -342,13 +396,13 @@ def solve(part: pd.DataFrame, keep: bool) -> pd.DataFrame:
     part = part.sort_values(["doc", "dh", "a"], kind="stable")
     h, doc, dh, start = (part[c].to_numpy(np.int64) for c in ("h", "doc", "dh", "a"))
     strings = part["s"].tolist()
-    hit = repeated(strings, doc, dh, start)
     own = np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1
+    hit, second = repeated(strings, np.arange(len(strings)), np.zeros(len(strings), np.int64), own, h, _numbered(doc, dh), start)
     of, a, b = _stretches(hit, own, start)
     gone = pd.DataFrame({"doc": doc[of], "dh": dh[of], "a": a.astype(np.int32), "b": b.astype(np.int32)})
     if not keep:
         return gone
-    of, a, b = _stretches(~hit, own, start)
+    of, a, b = _stretches(~(hit | np.repeat(second, own)), own, start)
     bytes_ = [strings[i][x - s : y - s + LENGTH] for i, x, y, s in zip(of.tolist(), a.tolist(), b.tolist(), start[of].tolist())]
     rest = pd.DataFrame({"h": h[of], "doc": doc[of], "dh": dh[of], "a": a.astype(np.int32), "b": b.astype(np.int32), "s": bytes_})
     both = pd.concat([gone.assign(h=0, s=None), rest])
@@ -423,7 +477,7 @@ def spans(docs: DataFrame) -> DataFrame:
     anchors = materialize(named.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-anchors")
     hit = marked(named, F.col("h"), bitmap(anchors, F.col("h"))).where("hit").drop("hit")
     total, most = _size(anchors)
-    wanted = materialize(join_counted(hit, anchors, ["h"], total), "suffix-wanted")
+    wanted = join_counted(hit, anchors, ["h"], total)
     gone = found.where("h is null").select("doc", "dh", "a", "b").unionAll(settle(contexts(documents, wanted), total, most))
     return gone.select("doc", "dh", "a", (F.col("b") + LENGTH).cast("int").alias("b"))
 

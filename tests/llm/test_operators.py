@@ -272,6 +272,7 @@ def test_one_document_of_each_group_stays(spark):
 @pytest.mark.parametrize("hot", [4096, 2])
 def test_copies_and_large_components_get_their_ids(spark, monkeypatch, hot):
     monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(common, "FEW", 1 if hot < 100 else 1024)
     rng = random.Random(3)
     base = words(rng, 300, 500).split(" ")
     near = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(0, 300, 5)]
@@ -334,6 +335,7 @@ def brute_lines(rows):
 @pytest.mark.parametrize("hot", [4096, 3])
 def test_lines_go_if_an_earlier_one_is_equal_or_one_edit_away(spark, hot, monkeypatch):
     monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(common, "FEW", 1 if hot < 100 else 1024)
     rng = random.Random(5)
     base = ["".join(rng.choice("abé") for _ in range(rng.choice([3, 4, 5, 6, 20, 300, 700, 1500]))) for _ in range(30)]
     rows = []
@@ -651,7 +653,7 @@ def brute_repeats(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("most,shard,size", [(8_192, 512, 8_192), (3, 8, 32), (3, 2, 8)])
+@pytest.mark.parametrize("most,shard,size", [(8_192, 1 << 16, 8_192), (3, 900, 32), (3, 200, 8)])
 def test_repeated_passages_go(spark, monkeypatch, most, shard, size):
     monkeypatch.setattr(suffix_dedup, "MOST", most)
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)
@@ -677,24 +679,35 @@ def test_repeated_passages_go(spark, monkeypatch, most, shard, size):
 
 
 @pytest.mark.parametrize("shard", [1, 7, 60])
-def test_merge_finds_the_intervals_of_equal_windows(shard):
+def test_merge_finds_the_intervals_of_equal_strings(shard):
     rng = random.Random(shard)
-    strings = [bytes(rng.choice(b"ab\xff\x00") for _ in range(rng.randrange(6, 40))) for _ in range(60)]
-    strings += [strings[3], strings[3][2:], b"a" * 30, b"a" * 30, b"\xff" * 9]
-    shards = [suffix_dedup.transform(strings[i : i + shard], 6) for i in range(0, len(strings), shard)]
-    windows, block = suffix_dedup.merge(shards, 6)
-    every = [s[k : k + 6] for s in strings for k in range(len(s) - 5)]
+    texts = [bytes(rng.choice(b"ab\xff\x00") for _ in range(rng.randrange(6, 40))) for _ in range(60)]
+    texts += [texts[3], texts[3][2:], b"a" * 30, b"a" * 30, b"\xff" * 9]
+    merge = suffix_dedup.Merge([suffix_dedup.transform(texts[i : i + shard]) for i in range(0, len(texts), shard)])
+    size = np.array([len(t) + 1 for t in texts])
+    first = np.cumsum(size) - size
+    at = [(i, k, n) for i, t in enumerate(texts) for k in range(len(t) - 5) for n in {6, len(t) - k}]
+    every = [texts[i][k : k + n] for i, k, n in at]
+    found, of = merge.refine(np.array([first[i] + k + n for i, k, n in at]), np.array([n for _, _, n in at]))
     count = Counter(every)
-    assert sorted(windows.tolist()) == [i for i, w in enumerate(every) if count[w] > 1]
-    found = [every[w] for w in windows]
-    assert found == sorted(found) and all((x == y) == (a == b) for x, y, a, b in zip(found, found[1:], block, block[1:]))
+    assert sorted(found.tolist()) == [i for i, w in enumerate(every) if count[w] > 1]
+    assert all((every[x] == every[y]) == (a == b) for x, y, a, b in zip(found, found[1:], of, of[1:]))
+    assert len(set(of.tolist())) == sum(n > 1 for n in count.values())
 
 
 def test_transform_is_that_of_the_sorted_suffixes():
-    strings = [b"banana", b"bandana", b"banana", b"\xff\xfe\xff\xfe\xff\xfe\xff\xfe\xff\xfe"]
-    shard = suffix_dedup.transform(strings, 3)
-    every = sorted((s[k:], i, s[k - 1] + 1 if k else 0) for i, s in enumerate(strings) for k in range(len(s) + 1))
-    assert shard.before.tolist() == [x[2] for x in every]
+    texts = [b"banana", b"bandana", b"cabana", b"\xff\xfe\xff\xfe\xff\xfe\xff\xfe\xff\xfe"]
+    shard = suffix_dedup.transform(texts)
+    every = sorted((s[k:], i, k) for i, s in enumerate(texts) for k in range(len(s) + 1))
+    order = {(i, k): n for n, (_, i, k) in enumerate(every)}
+    # equal suffixes may stand in any order; the byte before the first sentinel of all is the last sentinel
+    assert [x[0] for x in every] == [sorted(x[0] for x in every)[n] for n in range(len(every))]
+    first = np.cumsum([0] + [len(s) + 1 for s in texts])
+    by = {int(shard.rank[first[i] + k]): (i, k) for i, k in order}
+    assert [texts[by[n][0]][by[n][1] :] for n in range(len(every))] == [x[0] for x in every]
+    for n, (i, k) in by.items():
+        assert shard.before[n] == (texts[i][k - 1] + 1 if k else 0)
+        assert not k or by[int(shard.longer[n])] == (i, k - 1)
 
 
 # --- shared ---
