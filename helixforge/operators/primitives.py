@@ -24,6 +24,19 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str, inclusi
     return summed.join(F.broadcast(before), "__r").select(*names, (F.col("__t") + F.col("__b")).alias(out))
 
 
+def running_least(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """Adds the least value of all rows before this one (null for the first).  As running_total: ranges apart, then a row for
+    each range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = df.columns
+    ranged = materialize(df.repartitionByRange(n, *order).withColumn("__r", F.spark_partition_id()), "ranges")
+    least = ranged.groupBy("__r").agg(F.min(value).alias("__s"))
+    before = least.select("__r", F.min("__s").over(Wd.orderBy("__r").rowsBetween(Wd.unboundedPreceding, -1)).alias("__b"))
+    own = Wd.partitionBy("__r").orderBy(*order).rowsBetween(Wd.unboundedPreceding, -1)
+    inside = ranged.withColumn("__t", F.min(value).over(own))
+    return inside.join(F.broadcast(before), "__r").select(*names, F.least("__t", "__b").alias(out))
+
+
 def segment_ids(sizes: DataFrame, segment: str, size: str) -> DataFrame:
     """A row for each element of each segment: segment, place (from 0).  Empty segments have none."""
     return sizes.where(F.col(size) > 0).select(segment, F.explode(F.sequence(F.lit(0), F.col(size).cast("int") - 1)).alias("place"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
+from helixforge.operators.primitives import running_least
+
 CONFIG = ["ext", "anchor_threshold", "candidate_threshold"]
 
 
@@ -52,11 +54,14 @@ def totals(runs: DataFrame) -> DataFrame:
 def frontier(summed: DataFrame, by: str | None = "ext", keep=None) -> DataFrame:
     """Runs that no other run beats: none has as many tp or more with fewer fp, or more tp with as few fp.  Equal points are
     all kept.  by: within each value of a column (None: over all).  keep: a condition on runs that always stay."""
-    part = Wd.partitionBy(by) if by else Wd.partitionBy(F.lit(0))
-    # one row for each tp first, so a window holds distinct values
+    # one row for each tp first, so a window holds distinct values; over all runs, ranges of tp are taken apart
     best = summed.groupBy(*([by] if by else []), "tp").agg(F.min("fp").alias("best"))
-    more = part.orderBy(F.col("tp").desc()).rowsBetween(Wd.unboundedPreceding, -1)
-    line = best.withColumn("beaten", F.min("best").over(more)).where(F.col("beaten").isNull() | (F.col("best") < F.col("beaten")))
+    if by:
+        more = Wd.partitionBy(by).orderBy(F.col("tp").desc()).rowsBetween(Wd.unboundedPreceding, -1)
+        best = best.withColumn("beaten", F.min("best").over(more))
+    else:
+        best = running_least(best.withColumn("down", -F.col("tp")), ["down"], "best", "beaten")
+    line = best.where(F.col("beaten").isNull() | (F.col("best") < F.col("beaten")))
     on = [*([by] if by else []), "tp"]
     kept = summed.join(line.select(*on, "best"), on, "left").where((F.col("fp") == F.col("best")) | (keep if keep is not None else F.lit(False)))
     return kept.select(*CONFIG, "tp", "fp")
