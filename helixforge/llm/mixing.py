@@ -20,10 +20,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
-from .common import materialize, n_buckets, whole_text
+from helixforge.operators.primitives import running_total
+
+from .common import join_counted, materialize, n_buckets, ready, whole_text
 
 GROUP, FAN_IN, SEED = 20_000, 64, 42
 
@@ -37,31 +38,24 @@ def words_in(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0) -> DataFrame:
-    """source, size -> source, source_size, target.  Water filling in closed form: sources in the order of most * size /
-    weight reach their limit one after another, and the first that does not ends the filling.  The windows run over one
-    row per source."""
-    by = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    by = by.withColumn("place", F.row_number().over(Wd.orderBy(F.col("source").asc_nulls_last())) - 1)
+    """source, size -> source, source_size, target, n_units.  Water filling in closed form: sources in the order of most * size /
+    weight reach their limit one after another, and the first that does not ends the filling.  The order is one of ranges
+    that are summed apart, so no task holds all sources; four numbers reach the driver."""
+    by = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n_units"))
+    by = running_total(by.select("*", F.col("source").isNull().alias("last"), F.lit(1).alias("one")), ["last", "source"], "one", "place")
     table = F.array(*[F.lit(float(w)) for w in weights])
     by = by.withColumn("weight", F.get(table, (F.col("place") % len(weights)).cast("int")))
-    fill = Wd.orderBy(F.col("source_size") / F.col("weight"), "place")
-    before, every = fill.rowsBetween(Wd.unboundedPreceding, -1), fill.rowsBetween(Wd.unboundedPreceding, Wd.unboundedFollowing)
-    by = by.select(
-        "*",
-        F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("filled"),
-        F.coalesce(F.sum("weight").over(before), F.lit(0.0)).alias("gone"),
-        F.sum("source_size").over(every).alias("words"),
-        F.sum("weight").over(every).alias("weights"),
-    )
+    by = by.withColumn("turn", F.col("source_size") / F.col("weight"))
+    by = running_total(by, ["turn", "place"], "source_size", "filled")
+    by = running_total(by, ["turn", "place"], "weight", "gone")
+    words, weight = by.agg(F.sum("source_size"), F.sum("weight")).first()
     # the share per weight if all sources before this one are at their limit
-    by = by.withColumn("level", (F.col("words") - most * F.col("filled")) / (F.col("weights") - F.col("gone")))
-    by = by.withColumn("free", F.col("level") * F.col("weight") <= most * F.col("source_size"))
-    level = F.min(F.when(F.col("free"), F.struct(F.col("source_size") / F.col("weight"), F.col("place"), F.col("level").alias("level")))).over(every)["level"]
-    return by.withColumn("level", level).select(
-        "source",
-        "source_size",
-        F.least(most * F.col("source_size"), F.coalesce(F.col("level") * F.col("weight"), most * F.col("source_size"))).alias("target"),
-    )
+    by = by.withColumn("level", (F.lit(words or 0) - most * F.col("filled")) / (F.lit(weight or 0.0) - F.col("gone")))
+    free = F.col("level") * F.col("weight") <= most * F.col("source_size")
+    first = by.where(free).agg(F.min(F.struct("turn", "place", "level")).alias("x")).first()["x"]
+    full = most * F.col("source_size")
+    target = F.least(full, F.lit(first["level"]) * F.col("weight")) if first else full
+    return by.select("source", "source_size", target.alias("target"), "n_units")
 
 
 def _pivot(f: np.ndarray, size: np.ndarray, rnd: np.ndarray) -> np.ndarray:
@@ -106,13 +100,17 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def mix(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, seed: int = SEED) -> DataFrame:
     """Output of sized -> one row per unit: doc_id, source, rows, source_size, target, copies."""
+    ready(sizes.sparkSession)
     units = materialize(sizes.groupBy("doc_id", "source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "mix-units")
+    total = units.count()
     aims = targets(units, weights, most).withColumn("place", F.coalesce(F.xxhash64("source"), F.lit(0)))
-    joined = units.join(aims, units["source"].eqNullSafe(aims["source"])).drop(aims["source"])
+    # a null source is joined as one, and a source with most of all rows does not meet in one task
+    key = lambda df: df.withColumns({"__source": F.coalesce("source", F.lit("")), "__none": F.col("source").isNull()})
+    joined = join_counted(key(units), key(aims).drop("source"), ["__source", "__none"], total, "n_units")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     first = joined.select("doc_id", "source", "size", "rows", "source_size", "target", "place", rate.alias("rate"))
     first = first.select("*", F.floor("rate").alias("base"), (F.col("rate") - F.floor("rate")).alias("f"), F.xxhash64(F.lit(seed), "doc_id", "source").alias("h"))
-    buckets = n_buckets(units.count(), GROUP)
+    buckets = n_buckets(total, GROUP)
     keep = ["doc_id", "source", "size", "rows", "source_size", "target", "place", "base", "f", "h", "bucket"]
     left = first.withColumn("bucket", F.pmod("h", F.lit(buckets))).select(*keep)
     whole = (F.col("f") == 0) | (F.col("f") == 1) | (F.col("size") == 0)
