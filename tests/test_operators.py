@@ -361,3 +361,23 @@ def test_own_code_by_batch_range_and_table_function(spark):
     assert sorted(r.x for r in squares.collect()) == [9, 16, 25]
     extension.register_functions(spark)
     assert [tuple(r) for r in spark.sql("select * from kmer_rows('ACGT', 3)").collect()] == [(1, "ACG"), (2, "CGT")]
+
+
+def test_running_least_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(1000)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(5)
+    got = {r.k: r.least for r in primitives.running_least(df, ["k"], "v", "least").collect()}
+    assert got == {i: min((v for _, v in rows[:i]), default=None) for i, _ in rows}
+
+
+def test_genome_share_counts_each_kmer_once(spark):
+    reads = spark.createDataFrame([(0, "ACGTTGCA"), (1, "ACGTTGCA"), (2, "TTTTTTTT"), (3, None), (4, "ACNNA")], "read_id long, sequence string")
+    genome = spark.createDataFrame([(0, "ACGTTG")], "read_id long, sequence string")
+    counts = kmers.kmer_counts(reads, 4)
+    by_rows = kmers.canonical_kmers(reads, 4).groupBy("code").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, by_rows.collect()))
+    inside = {r.code for r in kmers.canonical_kmers(genome, 4).collect()}
+    own = {r.code: r.n for r in by_rows.collect()}
+    row = kmers.genome_share(counts, kmers.kmer_counts(genome, 4)).first()
+    assert (row.n_in, row.weight_in, row.n_all, row.weight_all) == (len(inside & set(own)), sum(n for c, n in own.items() if c in inside), len(own), sum(own.values()))
