@@ -7,7 +7,7 @@ which the base spans are blanks, kind after kind, so what stands beside a base s
 
 Samples.  Random: the values of the corpus' own base spans, and MADE strings of each of four encodings of hashes.  Ordinary:
 whatever of the token alphabet stands in documents without a base span (words, numbers, codes), those words joined as
-identifiers and paths are, and MADE numbers, dates and rulers each.  Models see the same characters that they are asked about.
+identifiers, constants and paths are, and MADE numbers, dates and rulers each.  Models see the same characters that they are asked about.
 
 Offsets are sums of the lengths of matches and of what lies between, taken in blocks, so a text of many matches takes time in
 proportion to them.
@@ -179,7 +179,7 @@ def labelled_samples(docs: DataFrame, spanned: DataFrame, sample_docs: int = 400
     words = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("few"), "left_semi").select(found.alias("words"))
     after = F.slice("words", F.lit(2), F.size("words"))
     by = lambda s: lambda a, b: F.concat(a, F.lit(s), b)
-    joined = [F.zip_with("words", after, by(s)) for s in ("_", "-", "/")] + [F.zip_with("words", after, lambda a, b: F.concat(a, F.initcap(b)))]
+    joined = [F.zip_with("words", after, by(s)) for s in ("_", "-", "/")] + [F.zip_with("words", after, lambda a, b: F.concat(a, F.initcap(b))), F.zip_with("words", after, lambda a, b: F.upper(F.concat(a, F.lit("_"), b)))]
     every = F.concat("words", *[F.filter(j, lambda x: x.isNotNull()) for j in joined])
     ordinary = words.select(F.explode(every).alias("token"), F.lit(False).alias("random"))
     return random.unionAll(ordinary).unionAll(_made(docs.sparkSession))

@@ -579,7 +579,7 @@ def test_models_tell_secrets_from_ordinary_tokens(spark):
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5)))
     ordinary = [of("0123456789", rng.randrange(16, 30)) for _ in range(60)] + ["_".join(word() for _ in range(6)) for _ in range(60)] + ["".join(word().title() for _ in range(8)) for _ in range(60)]
     ordinary += ["/usr/" + "/".join(word() for _ in range(6)) for _ in range(60)] + [f"20{rng.randrange(10, 30)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}T{rng.randrange(10, 24)}-{rng.randrange(10, 60)}" for _ in range(60)]
-    ordinary += ["-".join(word() for _ in range(6)) for _ in range(60)] + [c * n for c in "=-_/+" for n in (16, 40, 80)] + ["".join(word() for _ in range(9)) for _ in range(60)]
+    ordinary += ["-".join(word() for _ in range(6)) for _ in range(60)] + ["_".join(word() for _ in range(6)).upper() for _ in range(30)] + ["".join(word() for _ in range(9)).upper() for _ in range(30)] + [c * n for c in "=-_/+" for n in (16, 40, 80)] + ["".join(word() for _ in range(9)) for _ in range(60)]
     ordinary = [t for t in ordinary if len(t) >= 16 and not re.search(r"[0-9a-f]{24,}", t)]
     secrets = [t for t in secrets if not re.search(r"[0-9a-f]{24,}", t)]
     prose = [" ".join(word() for _ in range(60)) for _ in range(200)]
