@@ -134,7 +134,7 @@ def printed_features(spark, sf_dir):
     names = forest.DESCRIPTOR.split(",")
     sinks.write_features(done.features.select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(names)]), path, 1.0)
     fields = F.split("value", " ")
-    return spark.read.text(path).select(*[F.round(F.get(fields, F.lit(i)).cast("double"), 5).alias(c) for i, c in enumerate(names)])
+    return spark.read.text(path).select(*[F.round(F.get(fields, F.lit(i)).cast("double"), 6).alias(c) for i, c in enumerate(names)])
 
 
 @query

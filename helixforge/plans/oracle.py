@@ -249,8 +249,8 @@ def oracles() -> dict[str, str]:
         "forest_file": f"select vec_id, round({_forest(10)}, 6) as probability from embeddings",
         "printed_features": _refined(
             "anchors",
-            """select round(s.support, 5) as support, cast(s.coverage as double) as coverage, round(s.orig_weight / s.total, 5) as orig_share, round(near, 5) as near_support,
-                round(avg_support, 5) as avg_support, round(min_support, 5) as min_support
+            """select round(s.support, 6) as support, cast(s.coverage as double) as coverage, round(s.orig_weight / s.total, 6) as orig_share, round(near, 6) as near_support,
+                round(avg_support, 6) as avg_support, round(min_support, 6) as min_support
             from near join supported s using (anchor_id, col) join props using (anchor_id) where s.anchor_base <> s.consensus""",
         ),
         "file_utilities": "select count(*) as n_lines, true as same_size, true as moved, true as removed from orders",
