@@ -5,12 +5,14 @@ length n gets one more component sqrt(M^2 - n^2) and a query gets zero there: th
 the larger their product is.  Pivots cut the space into cells.  Each data cell is summed up by its size and the k + 1
 smallest distances to its pivot, from which every query has a bound on the distance of its k-th neighbour; with that
 bound, the distance of a query to a pivot tells which cells it needs (the plane between two pivots) and which ring of
-them (the triangle inequality).  Queries are grouped by their pivot, a group is sent the rings that one of its queries
+them (the triangle inequality).  Queries are grouped by their pivot, a group meets the rings that one of its queries
 needs and nothing else, and each pair of a group and a piece of a cell is solved by one matrix product; the products
 alone decide, the distances only spare work, and by a margin for rounding.
 
 Cells are cut into pieces of about PIECE vectors and groups into parts of about PART queries, so a cell with a third of all
-vectors is many tasks.  Pivots are at most MOST_PIVOTS; they and the sums of their cells are all that the driver holds.
+vectors is many tasks.  A piece is shuffled once, in order of the distance to its pivot; copied are the groups, which are the
+smaller side, to those pieces that hold something of the ring they need.  Cells follow the table (a quarter of the root of
+its size, LEAST_PIVOTS to MOST_PIVOTS); pivots and the sums of their cells are all that the driver holds.
 
 Defined results: rows without vec_id and vectors that are null or hold null or non-finite components take no part; of
 rows that share a vec_id one takes part; a query's own row is no candidate; ties go to the smaller vec_id; shorter
@@ -30,7 +32,7 @@ from . import vectors
 from .common import materialize, n_buckets
 
 PIECE, PART = 4096, 512
-LEAST_PIVOTS, MOST_PIVOTS = 8, 128
+LEAST_PIVOTS, MOST_PIVOTS = 8, 1024
 
 
 def _pivots(own: DataFrame, n: int, width: int) -> np.ndarray:
@@ -78,11 +80,10 @@ def search(rows: DataFrame, is_query: Column, k: int, scale: float = 256.0) -> D
     """rows: vec_id, embedding; is_query: a condition on vec_id -> query_id, rank, vec_id, score (long)."""
     own = materialize(vectors.clean(rows, scale=scale), "knn-vectors")
     n, m2, width = own.agg(F.count("*"), F.max("n2"), F.max(F.length("v"))).first()
-    asked = own.where(is_query)
-    width, m2, many = max(1, (width or 8) // 8), m2 or 0.0, asked.count()
+    width, m2 = max(1, (width or 8) // 8), m2 or 0.0
     if m2 >= 2.0**53:
         raise OverflowError("squared lengths of 2^53 and more: scores would not be exact")
-    pivots = _pivots(own, max(LEAST_PIVOTS, min(MOST_PIVOTS, many // 64)), width)
+    pivots = _pivots(own, max(LEAST_PIVOTS, min(MOST_PIVOTS, int(n**0.5) // 4)), width)
     if not len(pivots):
         pivots = np.zeros((1, width))
     space = Space(pivots, m2)
@@ -99,17 +100,19 @@ def search(rows: DataFrame, is_query: Column, k: int, scale: float = 256.0) -> D
     placed = materialize(own.select("vec_id", "v").mapInArrow(assign, "vec_id long, v binary, cell int, d double"), "knn-cells")
     # sums of the cells: sizes, and the k + 1 smallest distances, of shares of a cell first
     share = placed.groupBy("cell", F.pmod(F.xxhash64("vec_id"), F.lit(n_buckets(n, 16 * PIECE))).alias("s"))
-    lists = share.agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("d")), 1, k + 1).alias("near"))
-    summed = lists.groupBy("cell").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).collect()
+    lists = share.agg(F.count("*").alias("n"), F.count_if(is_query).alias("asked"), F.slice(F.array_sort(F.collect_list("d")), 1, k + 1).alias("near"))
+    summed = lists.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).collect()
     near = [np.zeros(0)] * len(pivots)
-    pieces = [1] * len(pivots)
+    pieces, parts = [1] * len(pivots), [1] * len(pivots)
     for r in summed:
-        near[r["cell"]], pieces[r["cell"]] = np.array(r["near"]), n_buckets(r["n"], PIECE)
+        near[r["cell"]], pieces[r["cell"]], parts[r["cell"]] = np.array(r["near"]), n_buckets(r["n"], PIECE), n_buckets(r["asked"], PART)
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         sort = np.lexsort((part["vec_id"], part["d"]))
+        d = part["d"].to_numpy()[sort]
         x = vectors.matrix(part["v"], width, kind)[sort].astype(kind)
-        return pd.DataFrame([{"cell": part["cell"].iloc[0], "piece": part["piece"].iloc[0], "d": part["d"].to_numpy()[sort], "ids": part["vec_id"].to_numpy(np.int64)[sort].tobytes(), "x": x.tobytes()}])
+        ids = part["vec_id"].to_numpy(np.int64)[sort]
+        return pd.DataFrame([{"cell": part["cell"].iloc[0], "piece": part["piece"].iloc[0], "least": d[0], "most": d[-1], "d": d.tobytes(), "ids": ids.tobytes(), "x": x.tobytes()}])
 
     def group(part: pd.DataFrame) -> pd.DataFrame:
         q, ids = vectors.matrix(part["v"], width, kind), part["vec_id"].to_numpy(np.int64)
@@ -117,35 +120,40 @@ def search(rows: DataFrame, is_query: Column, k: int, scale: float = 256.0) -> D
         need = np.flatnonzero(low <= high)
         return pd.DataFrame({"g": part["g"].iloc[0], "cell": need.astype(np.int32), "low": low[need], "high": high[need], "q_ids": ids.tobytes(), "q": q.astype(kind).tobytes()})
 
-    by_piece = F.pmod(F.xxhash64("vec_id"), F.get(F.array(*[F.lit(int(p)) for p in pieces]), F.col("cell"))).cast("int")
-    packed = placed.withColumn("piece", by_piece).groupBy("cell", "piece").applyInPandas(pack, "cell int, piece int, d array<double>, ids binary, x binary")
+    of_cell = lambda table: F.get(F.array(*[F.lit(int(p)) for p in table]), F.col("cell"))
+    by_piece = F.pmod(F.xxhash64("vec_id"), of_cell(pieces)).cast("int")
+    packed = placed.withColumn("piece", by_piece).groupBy("cell", "piece").applyInPandas(pack, "cell int, piece int, least double, most double, d binary, ids binary, x binary")
     packed = materialize(packed, "knn-pieces")
-    g = F.concat_ws(":", "cell", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_buckets(many, PART))))
+    g = F.concat_ws(":", "cell", F.pmod(F.xxhash64("vec_id", F.lit(1)), of_cell(parts)))
     needs = placed.where(is_query).withColumn("g", g).select("g", "vec_id", "v").groupBy("g").applyInPandas(group, "g string, cell int, low double, high double, q_ids binary, q binary")
     needs = materialize(needs, "knn-groups")
-    # data to groups: of each piece the ring that the group needs, cut out of the sorted rows
-    sent = packed.join(needs.select("g", "cell", "low", "high"), "cell")
-    first = F.size(F.filter("d", lambda d: d < F.col("low")))
-    count = F.size(F.filter("d", lambda d: (d >= F.col("low")) & (d <= F.col("high"))))
-    sent = sent.select("g", "cell", "piece", "ids", "x", first.alias("a"), count.alias("c")).where("c > 0")
-    cut = lambda column, n: F.substr(F.col(column), F.col("a") * n + 1, F.col("c") * n).alias(column)
-    sent = sent.select("g", "cell", "piece", cut("ids", 8), cut("x", size * width), F.lit(None).cast("binary").alias("q_ids"), F.lit(None).cast("binary").alias("q"))
-    table = F.get(F.array(*[F.lit(int(p)) for p in pieces]), F.col("cell"))
-    asks = needs.select("g", "cell", F.explode(F.sequence(F.lit(0), table - 1)).alias("piece"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("x"), "q_ids", "q")
-
-    def solve(pair: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for ask in pair[pair["q"].notna()].itertuples():
-            for piece in pair[pair["x"].notna()].itertuples():
-                q_ids, ids = np.frombuffer(ask.q_ids, np.int64), np.frombuffer(piece.ids, np.int64)
-                q, x = (np.frombuffer(m, kind).astype(np.float64).reshape(-1, width) for m in (ask.q, piece.x))
-                s = q @ x.T
+    # a group goes to the pieces that hold something of the ring it needs, each of which is in one task, its vectors first
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    asks = needs.join(packed.select("cell", "piece", "least", "most"), "cell").where("least <= high and most >= low")
+    asks = asks.select("cell", "piece", "g", "low", "high", "q_ids", "q", *none("binary", "d", "ids", "x"))
+    held = packed.select("cell", "piece", *none("string", "g"), *none("double", "low", "high"), *none("binary", "q_ids", "q"), "d", "ids", "x")
+    met = held.unionAll(asks).repartition(2 * sum(pieces), "cell", "piece").sortWithinPartitions("cell", "piece", F.col("g").asc_nulls_first())
+
+    def solve(batches):
+        own = at = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("cell", "piece", "low", "high", "q_ids", "q", "d", "ids", "x")}
+                if row["x"] is not None:
+                    own = np.frombuffer(row["d"]), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["x"], kind).reshape(-1, width)
+                    at = row["cell"], row["piece"]
+                    continue
+                if at != (row["cell"], row["piece"]):
+                    continue
+                a, b = np.searchsorted(own[0], row["low"]), np.searchsorted(own[0], row["high"], side="right")
+                if a >= b:
+                    continue
+                q_ids, ids = np.frombuffer(row["q_ids"], np.int64), own[1][a:b]
+                s = np.frombuffer(row["q"], kind).astype(np.float64).reshape(-1, width) @ own[2][a:b].astype(np.float64).T
                 s[q_ids[:, None] == ids] = -np.inf
                 take = vectors.best(s, ids, k)
                 score = np.take_along_axis(s, take, 1)
                 some = score > -np.inf
-                out.append(pd.DataFrame({"query_id": np.repeat(q_ids, some.sum(1)), "vec_id": ids[take][some], "score": score[some].astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, some.sum(1))), pa.array(ids[take][some]), pa.array(score[some].astype(np.int64))], names=["query_id", "vec_id", "score"])
 
-    met = sent.unionAll(asks).groupBy("g", "cell", "piece").applyInPandas(solve, "query_id long, vec_id long, score long")
-    return vectors.top(met, k)
+    return vectors.top(met.mapInArrow(solve, "query_id long, vec_id long, score long"), k)

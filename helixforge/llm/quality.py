@@ -55,12 +55,36 @@ class Slots(dict):
         return slot
 
 
-def slots_of(texts: pa.Array, cache: Slots):
-    """Batches of whole documents as (number of documents, slots, document of each slot)."""
-    held: list[list[int]] = []
-    size = 0
-    for t in texts:
-        held.append([cache[w] for w in words_of(t.as_py() or "")])
+#: column of slots that slotted makes, two bytes each; the functions below read it instead of the text where it is
+SLOTS = "__slots"
+
+
+def _input(docs: DataFrame) -> str:
+    return SLOTS if SLOTS in docs.columns else "text"
+
+
+def slotted(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep, text -> keep and the slots of all words: the only pass over texts that are read several times."""
+    ready(docs.sparkSession)
+    k = len(keep)
+
+    def run(batches):
+        cache = Slots()
+        for batch in batches:
+            own = [np.fromiter((cache[w] for w in words_of(t.as_py() or "")), "<u2").tobytes() for t in batch.column(k)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(own, pa.binary())], names=[*keep, SLOTS])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + f", `{SLOTS}` binary"
+    return docs.select(*keep, "text").mapInArrow(run, schema)
+
+
+def slots_of(column: pa.Array, cache: Slots):
+    """Batches of whole documents, texts or slots, as (number of documents, slots, document of each slot)."""
+    held: list[list[int] | np.ndarray] = []
+    size, known = 0, pa.types.is_binary(column.type)
+    for t in column:
+        t = t.as_py()
+        held.append(np.frombuffer(t or b"", "<u2") if known else [cache[w] for w in words_of(t or "")])
         size += len(held[-1])
         if size > CHUNK:
             yield _flat(held, size)
@@ -69,8 +93,8 @@ def slots_of(texts: pa.Array, cache: Slots):
         yield _flat(held, size)
 
 
-def _flat(held: list[list[int]], size: int):
-    slots = np.fromiter((x for d in held for x in d), np.int32, size)
+def _flat(held: list[list[int] | np.ndarray], size: int):
+    slots = np.concatenate(held).astype(np.int32) if isinstance(held[0], np.ndarray) else np.fromiter((x for d in held for x in d), np.int32, size)
     return len(held), slots, np.repeat(np.arange(len(held)), list(map(len, held)))
 
 
@@ -102,7 +126,7 @@ def gather(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if len(met):
             yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(count[met]), *(pa.array(context[met, i]) for i in range(DIMENSIONS))], names=["slot", "n", *names])
 
-    parts = docs.select("text").mapInArrow(run, "slot int, n double, " + ", ".join(f"{c} double" for c in names))
+    parts = docs.select(_input(docs)).mapInArrow(run, "slot int, n double, " + ", ".join(f"{c} double" for c in names))
     rows = parts.groupBy("slot").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]).toPandas()
     count, context = np.zeros(VOCABULARY), np.zeros((VOCABULARY, DIMENSIONS))
     count[rows["slot"]] = rows["n"]
@@ -198,10 +222,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Network:
-    """docs: doc_id, text; labels: doc_id, quality.  Learns from labelled rows that are not held out, at most `most`.  A
-    document with several labels counts with the largest, and a doc_id with several texts with that of the smallest hash."""
+    """docs: doc_id, text (or the output of slotted); labels: doc_id, quality.  Learns from labelled rows that are not held
+    out, at most `most`.  A document with several labels counts with the largest, and a doc_id with several texts with that
+    of the smallest hash."""
     ready(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own_text = _input(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own_text)
     vectors = word_vectors(*gather(docs))
     own = labels.select("doc_id", "quality").where("quality is not null").where(~held_out(F.col("doc_id")))
     few = own.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -218,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Netw
                 at += n
 
     # at most `most` rows of two numbers: bounded, so only their texts are shuffled
-    sample = docs.join(F.broadcast(few), docs["doc_id"] == F.col("l_id")).groupBy(docs["doc_id"], "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = docs.join(F.broadcast(few), docs["doc_id"] == F.col("l_id")).groupBy(docs["doc_id"], "quality").agg(F.min_by(own_text, F.xxhash64(own_text)).alias(own_text))
     sample = sample.mapInArrow(run, "doc_id long, quality int, x array<double>")
     rows = sorted(((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["quality"], r["x"]) for r in sample.toLocalIterator()), key=lambda r: r[:3])
     x = np.array([r[3] for r in rows]).reshape(len(rows), vectors.shape[1] + 2)
@@ -226,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Netw
 
 
 def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, text -> keep, score."""
+    """keep, text (or the output of slotted) -> keep, score."""
     ready(docs.sparkSession)
     shared, k = docs.sparkSession.sparkContext.broadcast(net), len(keep)
 
@@ -238,7 +264,7 @@ def score(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",)) ->
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(scores)], names=[*keep, "score"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", score double"
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, _input(docs)).mapInArrow(run, schema)
 
 
 def accept(docs: DataFrame, net: Network, least: float = ACCEPT) -> DataFrame:

@@ -28,7 +28,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = materialize(quality.slotted(read(spark, sf_dir, "documents")), "quality-slots")
     net = quality.train(docs, read(spark, sf_dir, "labels"))
     scored = quality.score(docs, net)
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))

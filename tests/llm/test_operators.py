@@ -392,6 +392,11 @@ def test_quality_is_learned_without_the_held_out_rows(spark):
     flipped = l.withColumn("quality", F.when(quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     again = {r.doc_id: r.score for r in quality.score(df, quality.train(df, flipped)).collect()}
     assert all(abs(again[i] - out[i][0]) < 1e-9 for i in truth)
+    # what is read from slots is what is read from texts
+    slots = quality.slotted(df)
+    by_slots = sorted((str(r.doc_id), r.score) for r in quality.score(slots, quality.train(slots, l)).collect())
+    by_texts = sorted((str(r.doc_id), r.score) for r in quality.score(df, net).collect())
+    assert [d for d, _ in by_slots] == [d for d, _ in by_texts] and all(abs(x - y) < 1e-9 for (_, x), (_, y) in zip(by_slots, by_texts))
     kept = quality.accept(df, net)
     assert kept.schema == df.schema and {r.doc_id for r in kept.collect()} == {i for i, (s, _) in out.items() if s >= 0.7}
 
