@@ -103,14 +103,19 @@ def region_selection(built: DataFrame, cols: DataFrame, options: Options) -> Dat
 
 def refine(built: DataFrame, options: Options) -> DataFrame:
     """Drops candidates of another region until no anchor has a significant column that parts them, at most refine_passes
-    times.  Each pass is written down, so the plan does not grow."""
+    times.  An anchor that loses none in a pass is settled, and later passes see the others only.  Each pass is written down,
+    so the plan does not grow."""
+    settled = None
     for _ in range(options.refine_passes):
         out = region_selection(built, columns(built), options).where("dropped").select("anchor_id", "cand_id")
         out = materialize(out, "region")
         if out.isEmpty():
-            return built
-        built = materialize(built.join(out, ["anchor_id", "cand_id"], "left_anti"), "refined")
-    return built
+            break
+        changed = out.select("anchor_id").distinct()
+        stays = built.join(changed, "anchor_id", "left_anti")
+        settled = stays if settled is None else settled.unionByName(stays)
+        built = materialize(built.join(changed, "anchor_id", "left_semi").join(out, ["anchor_id", "cand_id"], "left_anti"), "refined")
+    return built if settled is None else materialize(settled.unionByName(built), "settled")
 
 
 def clusters(built: DataFrame, cols: DataFrame, options: Options) -> DataFrame:
