@@ -101,21 +101,29 @@ def region_selection(built: DataFrame, cols: DataFrame, options: Options) -> Dat
     return at.where("cand_id is not null").where(inside).join(own, "anchor_id").select("anchor_id", "cand_id", "col", (F.col("letter") != F.col("anchor_letter")).alias("dropped"))
 
 
-def refine(built: DataFrame, options: Options) -> DataFrame:
+def refined(built: DataFrame, options: Options, use_quality: bool = False) -> tuple[DataFrame, DataFrame]:
     """Drops candidates of another region until no anchor has a significant column that parts them, at most refine_passes
-    times.  An anchor that loses none in a pass is settled, and later passes see the others only.  Each pass is written down,
-    so the plan does not grow."""
-    settled = None
+    times -> the rows that are left, and their columns.  An anchor that loses none in a pass is settled: later passes see the
+    others only, and its columns are those of that pass.  Each pass is written down, so the plan does not grow."""
+    settled: list[tuple[DataFrame, DataFrame]] = []
+    cols = materialize(columns(built, use_quality), "columns")
     for _ in range(options.refine_passes):
-        out = region_selection(built, columns(built), options).where("dropped").select("anchor_id", "cand_id")
+        out = region_selection(built, cols, options).where("dropped").select("anchor_id", "cand_id")
         out = materialize(out, "region")
         if out.isEmpty():
             break
         changed = out.select("anchor_id").distinct()
-        stays = built.join(changed, "anchor_id", "left_anti")
-        settled = stays if settled is None else settled.unionByName(stays)
+        settled.append(tuple(df.join(changed, "anchor_id", "left_anti") for df in (built, cols)))
         built = materialize(built.join(changed, "anchor_id", "left_semi").join(out, ["anchor_id", "cand_id"], "left_anti"), "refined")
-    return built if settled is None else materialize(settled.unionByName(built), "settled")
+        cols = materialize(columns(built, use_quality), "columns")
+    for rows, own in settled:
+        built, cols = rows.unionByName(built), own.unionByName(cols)
+    return (materialize(built, "settled"), materialize(cols, "settled")) if settled else (built, cols)
+
+
+def refine(built: DataFrame, options: Options) -> DataFrame:
+    """The rows that refined leaves."""
+    return refined(built, options)[0]
 
 
 def clusters(built: DataFrame, cols: DataFrame, options: Options) -> DataFrame:

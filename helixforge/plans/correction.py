@@ -37,7 +37,7 @@ def steps(reads: DataFrame, options: Options, refine: bool = True, keys: DataFra
     keys: saved tables instead of new ones."""
     reads = materialize(first_ids(reads, options.first_reads), "reads")
     indexed = exclude_ambiguous(reads) if options.exclude_ambiguous else reads
-    keys = sketch(indexed, options) if keys is None else keys
+    keys = materialize(sketch(indexed, options), "keys") if keys is None else keys
     pairs = candidates.pairs(keys, options.bucket_limit)
     found = materialize(align.good(align.align(pairs, indexed, options), indexed, options), "good")
     if options.paired:
@@ -48,9 +48,10 @@ def steps(reads: DataFrame, options: Options, refine: bool = True, keys: DataFra
     oriented = align.oriented(found, indexed if options.use_quality else indexed.drop("quality"))
     built = msa.rows(oriented, indexed if options.use_quality else indexed.drop("quality"))
     if refine:
-        built = msa.refine(materialize(built, "built"), options)
+        built, columns = msa.refined(materialize(built, "built"), options, options.use_quality)
         oriented = oriented.join(built.where("cand_id is not null").select("anchor_id", "cand_id"), ["anchor_id", "cand_id"], "left_semi")
-    columns = materialize(msa.columns(built, options.use_quality), "columns")
+    else:
+        columns = materialize(msa.columns(built, options.use_quality), "columns")
     return Steps(reads, keys, pairs, found, oriented, built, columns, msa.properties(columns, options))
 
 
