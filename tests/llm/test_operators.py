@@ -573,6 +573,25 @@ def test_secrets(spark):
     assert secret_scan.report(secret_scan.scan(secret_scan.spans(df.limit(0)), ratios)).count() == 0
 
 
+def test_base_rules_equal_sql(spark):
+    import duckdb
+
+    table = "/root/testdata/sf0.01/documents.parquet"
+    base = F.col("base")
+    found = secret_scan.spans(spark.read.parquet(table)).select("doc_id", *[F.size(F.filter(base, lambda x: x["k"] == k)).alias(f"n{k}") for k in range(3)], F.transform(base, lambda x: x["s"]).alias("s"))
+    got = sorted((r.doc_id, r.n0, r.n1, r.n2, sorted(r.s)) for r in found.collect())
+    sql = r"""
+        select doc_id, len(a), len(b), len(c), list_sort(a || b || c) from (
+            select doc_id,
+                list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0),
+                    lambda m: length(regexp_extract(m, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 6) as a,
+                list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+', 0), lambda m: length(m) >= 20) as b,
+                list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+', 0), lambda m: length(m) >= 24) as c
+            from '%s') order by doc_id""" % table
+    assert got == [(*r[:4], sorted(r[4])) for r in duckdb.sql(sql).fetchall()]
+    assert sum(sum(r[1:4]) for r in got) > 10
+
+
 def test_models_tell_secrets_from_ordinary_tokens(spark):
     """Precision and recall on planted tokens, none of which is in a base span."""
     rng = random.Random(8)
