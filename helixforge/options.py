@@ -32,6 +32,7 @@ class Options:
     min_overlap: int = 30
     min_overlap_ratio: float = 0.30
     max_error_rate: float = 0.2
+    bin_by_rate: bool = False  #: of an anchor's candidates, keep those in the lowest bin of error rates that has enough
     # data set
     estimated_coverage: float = 1.0
     estimated_error_rate: float = 0.06  #: not the error rate of the data

@@ -45,6 +45,8 @@ def steps(reads: DataFrame, options: Options, refine: bool = True, keys: DataFra
         mates = candidates.paired(found.select("anchor_id", "cand_id"))
         both = found.join(mates, ["anchor_id", "cand_id"])
         found = both.where(f"is_paired or n_ops / overlap <= {options.paired_filter_threshold}").drop("is_paired")
+    if options.bin_by_rate:
+        found = align.by_rate(found, options)
     oriented = align.oriented(found, indexed if options.use_quality else indexed.drop("quality"))
     built = msa.rows(oriented, indexed if options.use_quality else indexed.drop("quality"))
     if refine:

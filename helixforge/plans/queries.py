@@ -477,7 +477,8 @@ def eval_metrics(spark, sf_dir):
 
 @query
 def eval_hist(spark, sf_dir):
-    return evaluate.histogram(_judged(spark, sf_dir))
+    """Errors left in a read, in their order."""
+    return evaluate.histogram(_judged(spark, sf_dir)).orderBy("name", "n_errors")
 
 
 @query

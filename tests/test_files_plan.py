@@ -168,3 +168,13 @@ def test_columns_of_many_are_printed(spark, data):
     lines = msa.shown(rows).collect()
     assert [r.cand_id for r in lines] == [None, *sorted(c for c in shifts if c is not None)]
     assert all(r.line == " " * (shifts[r.cand_id][0] - least) + shifts[r.cand_id][1] for r in lines)
+
+
+def test_bins_of_rates_leave_a_part_of_the_candidates(spark, data):
+    reads, every = steps(spark, data)
+    few = correction.steps(reads, replace(BASE, bin_by_rate=True))
+    pairs = lambda s: {(r.anchor_id, r.cand_id) for r in s.found.collect()}
+    assert pairs(few) and pairs(few) <= pairs(every)
+    rate = {(r.anchor_id, r.cand_id): r.n_ops / r.overlap for r in every.found.collect()}
+    dropped = pairs(every) - pairs(few)
+    assert all(min(rate[p] for p in dropped if p[0] == a) >= max((rate[p] for p in pairs(few) if p[0] == a), default=0) for a in {p[0] for p in dropped})
