@@ -9,7 +9,7 @@ from helixforge import ship
 from helixforge import storage
 
 #: bytes of a batch that goes to Python, whatever the length of the texts in it (a longer text is a batch by itself)
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 

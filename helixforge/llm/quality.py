@@ -31,7 +31,7 @@ VOCABULARY, DIMENSIONS, NONZERO, WINDOW = 1 << 14, 32, 4, 2
 MOST_LABELLED = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 128, 3e-3, 1e-3
 ACCEPT = 0.7
-CHUNK = 1 << 16
+CHUNK = 1 << 15
 
 words_of = re.compile(r"\w+|[^\w\s]+").findall
 
