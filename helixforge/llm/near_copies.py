@@ -4,8 +4,9 @@ shingles have a Jaccard similarity of 0.8 or more.
 A text's signature is BANDS * ROWS minima; texts that agree in all minima of one band meet, and what meets is compared by
 the whole sets.  A pair of similarity s meets with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9998 at 0.8, more above.  Only
 distinct sets are indexed, so copies cost nothing, and bands with the same members are compared once.  Members of a band
-are linked as stars and not as all pairs.  A band with more than MOST members is first compared with its least member; its
-blocks are then compared with those that this did not link, which one task holds beside a block.
+are linked as stars and not as all pairs.  A band with more than MOST members is first compared with its least member; what
+this did not link is cut into parts, and each part is compared with each block of the band, so a task holds about twice
+MOST sets, whatever the band.
 
 Defined results: words are split and lowered as in simhash; a text of fewer words than a shingle is one shingle; texts
 without words are copies of each other; 64-bit hashes stand for the shingles.
@@ -132,8 +133,9 @@ def _sets(needed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _compare_groups(rows: DataFrame) -> DataFrame:
-    """key, block, digest, own -> a, b: the stars of each (key, block); one group's sets are held at a time."""
-    ordered = rows.select("key", "block", "digest", "own").repartition("key", "block").sortWithinPartitions("key", "block", "digest")
+    """key, part, block, digest, own -> a, b: the stars of each (key, part, block); one group's sets are held at a time."""
+    group = ("key", "part", "block")
+    ordered = rows.select(*group, "digest", "own").repartition(*group).sortWithinPartitions(*group, "digest")
 
     def run(batches):
         at, ids, sets = None, [], []
@@ -143,12 +145,13 @@ def _compare_groups(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for key, block, digest, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if (key, block) != at:
+            for *group, digest, own in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if group != at:
                     if len(ids) > 1:
                         yield close()
-                    at, ids, sets = (key, block), [], []
-                ids.append(digest), sets.append(np.frombuffer(own, np.uint64))
+                    at, ids, sets = group, [], []
+                if not ids or ids[-1] != digest:
+                    ids.append(digest), sets.append(np.frombuffer(own, np.uint64))
         if len(ids) > 1:
             yield close()
 
@@ -177,15 +180,19 @@ def link(sketched: DataFrame, docs: DataFrame, most: int = MOST) -> DataFrame:
     members = materialize(keyed.join(groups, "key").select("key", "n", "least", "digest"), "near-members")
     needed = one.join(members.select("digest").distinct(), "digest").select("digest", "k.doc_id", "k.h")
     sets = materialize(_sets(materialize(needed, "near-needed"), docs), "near-sets")
-    small = members.where(F.col("n") <= most).select("key", F.lit(0).cast("long").alias("block"), "digest")
+    none = F.lit(0).cast("long")
+    small = members.where(F.col("n") <= most).select("key", none.alias("part"), none.alias("block"), "digest")
     blocks = F.ceil(F.col("n") / most)
     hot = members.where(F.col("n") > most).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("digest"), "blocks"))
     centres = groups.where(F.col("n") > most).withColumn("blocks", blocks).join(sets.select(F.col("digest").alias("least"), F.col("own").alias("centre")), "least")
     centres = centres.select("key", "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     tried = materialize(_compare_centres(hot.join(sets, "digest").join(centres, ["key", "block"])), "near-centres")
+    # what the least member did not link, in parts, against all blocks of its band: a group is one part and one block
     rest = tried.where("not linked")
-    every = rest.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "digest")
-    others = tried.where("linked").join(rest.select("key").distinct(), "key", "left_semi").select("key", "block", "digest")
+    parts = rest.groupBy("key").agg(F.ceil(F.count("*") / most).alias("parts"))
+    upto = lambda n: F.explode(F.sequence(none, F.col(n) - 1))
+    every = rest.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("digest", F.lit(1)), "parts")).select("key", "part", upto("blocks").alias("block"), "digest")
+    others = tried.join(parts, "key").select("key", upto("parts").alias("part"), "block", "digest")
     found = _compare_groups(small.unionAll(every).unionAll(others).join(sets, "digest"))
     return found.unionAll(tried.where("linked and digest <> least").select(F.col("least").alias("a"), F.col("digest").alias("b"))).distinct()
 
