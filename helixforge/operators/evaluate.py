@@ -17,6 +17,17 @@ def aligned(original: DataFrame, perfect: DataFrame, corrected: dict[str, DataFr
     for name, reads in corrected.items():
         own = both.join(reads.select("read_id", F.upper("sequence").alias("c")), "read_id").select(F.lit(name).alias("name"), "read_id", "o", "p", "c")
         out = own if out is None else out.unionAll(own)
+    return _checked(out)
+
+
+def beside(rows: DataFrame, corrected: dict[str, str]) -> DataFrame:
+    """The same from one table: read_id, original, perfect, and a column of letters for each name."""
+    each = [F.struct(F.lit(name).alias("name"), F.upper(c).alias("c")) for name, c in corrected.items()]
+    own = rows.select("read_id", F.upper("original").alias("o"), F.upper("perfect").alias("p"), F.explode(F.array(*each)).alias("x"))
+    return _checked(own.select("x.name", "read_id", "o", "p", "x.c"))
+
+
+def _checked(out: DataFrame) -> DataFrame:
     same = (F.length("o") == F.length("p")) & (F.length("p") == F.length("c"))
     return out.withColumn("o", F.when(same, F.col("o")).otherwise(F.raise_error(F.concat(F.lit("lengths differ: read "), F.col("read_id").cast("string")))))
 
