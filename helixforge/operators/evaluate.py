@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
+from helixforge.operators.letters import letters
+
+NAMES = ["name", "read_id", "tp", "fp", "fn", "tn"]
+SCHEMA = "name string, read_id long, tp long, fp long, fn long, tn long"
+
 
 def aligned(original: DataFrame, perfect: DataFrame, corrected: dict[str, DataFrame]) -> DataFrame:
     """name, read_id, o, p, c: the reads that all inputs have, letters upper-cased.  Lengths must be equal."""
@@ -17,19 +21,39 @@ def aligned(original: DataFrame, perfect: DataFrame, corrected: dict[str, DataFr
     for name, reads in corrected.items():
         own = both.join(reads.select("read_id", F.upper("sequence").alias("c")), "read_id").select(F.lit(name).alias("name"), "read_id", "o", "p", "c")
         out = own if out is None else out.unionAll(own)
-    return _checked(out)
+    same = (F.length("o") == F.length("p")) & (F.length("p") == F.length("c"))
+    return out.withColumn("o", F.when(same, F.col("o")).otherwise(F.raise_error(F.concat(F.lit("lengths differ: read "), F.col("read_id").cast("string")))))
 
 
 def beside(rows: DataFrame, corrected: dict[str, str]) -> DataFrame:
-    """The same from one table: read_id, original, perfect, and a column of letters for each name."""
-    each = [F.struct(F.lit(name).alias("name"), F.upper(c).alias("c")) for name, c in corrected.items()]
-    own = rows.select("read_id", F.upper("original").alias("o"), F.upper("perfect").alias("p"), F.explode(F.array(*each)).alias("x"))
-    return _checked(own.select("x.name", "read_id", "o", "p", "x.c"))
+    """Output of per_read from one table: read_id, original, perfect, and a column of letters for each name.  No row is made
+    twice; a name may have the original letters."""
+    more = [c for c in dict.fromkeys(corrected.values()) if c not in ("original", "perfect")]
+    columns = ["original", "perfect", *more]
+    same = F.lit(True)
+    for c in columns[1:]:
+        same = same & (F.length("original") == F.length(c))
+    error = F.raise_error(F.concat(F.lit("lengths differ: read "), F.col("read_id").cast("string")))
+    own = rows.select("read_id", F.when(same, F.upper("original")).otherwise(error).alias("original"), *[F.upper(c).alias(c) for c in columns[1:]])
 
+    def run(batches):
+        for batch in batches:
+            named = {c: letters(batch.column(i + 1)) for i, c in enumerate(columns)}
+            o, p = named["original"][0], named["perfect"][0]
+            for name, c in corrected.items():
+                sums = _sums(o, p, named[c][0], named["original"][1])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows), batch.column(0), *map(pa.array, sums)], names=NAMES)
+
+    return own.mapInArrow(run, SCHEMA)
 
-def _checked(out: DataFrame) -> DataFrame:
-    same = (F.length("o") == F.length("p")) & (F.length("p") == F.length("c"))
-    return out.withColumn("o", F.when(same, F.col("o")).otherwise(F.raise_error(F.concat(F.lit("lengths differ: read "), F.col("read_id").cast("string")))))
+
+def _sums(o: np.ndarray, p: np.ndarray, c: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """tp, fp, fn, tn of strings one after another; only letters that are or were wrong are looked at singly."""
+    was, now = o == p, c == p
+    first = np.cumsum(size) - size
+    count = lambda hit: np.bincount(np.searchsorted(first, np.flatnonzero(hit), side="right") - 1, minlength=len(size)).astype(np.int64)
+    tp, fp, fn = count(~was & now), count(was & ~now), count(~was & ~now)
+    return [tp, fp, fn, size - tp - fp - fn]
 
 
 def per_read(rows: DataFrame) -> DataFrame:
@@ -37,17 +61,10 @@ def per_read(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            size = pc.binary_length(batch.column(3).cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64)
-            o, p, c = (np.frombuffer(b"".join(batch.column(i).cast(pa.binary()).to_pylist()), np.uint8) for i in (2, 3, 4))
-            first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-            was, now = o == p, c == p
-            sums = []
-            for hit in (~was & now, was & ~now, ~was & ~now, was & now):
-                upto = np.concatenate([[0], np.cumsum(hit)])
-                sums.append(pa.array((upto[first[1:]] - upto[first[:-1]]).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sums], names=["name", "read_id", "tp", "fp", "fn", "tn"])
-
-    return rows.select("name", "read_id", "o", "p", "c").mapInArrow(run, "name string, read_id long, tp long, fp long, fn long, tn long")
+            (o, _), (p, _), (c, size) = (letters(batch.column(i)) for i in (2, 3, 4))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, _sums(o, p, c, size))], names=NAMES)
+
+    return rows.select("name", "read_id", "o", "p", "c").mapInArrow(run, SCHEMA)
 
 
 def confusion(counts: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 import random
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from helixforge import storage
-from helixforge.operators import correct, forest, whole
+from helixforge.operators import align, correct, evaluate, forest, whole
 from helixforge.options import Options
 from helixforge.plans import correction
 
@@ -76,3 +78,31 @@ def test_what_is_written_is_not_written_again(spark):
     assert storage.materialize(own, "twice") is own and own.count() == 5
     storage.release(own)
     assert own._path not in {p for _, p in storage._made}
+
+
+def test_shifts_of_one_pair_and_of_unequal_lengths():
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    pairs = [(x := text(60), x[20:] + text(300)), (text(300), text(40)), (text(35), text(35))]
+    for some in (pairs[:1], pairs):
+        (a, la), (c, lc) = (align._matrix(pa.array([p[i] for p in some])) for i in (0, 1))
+        got = align.best_shifts(a, la, c, lc, np.full(len(some), 30), 0.2)
+        for i, (p, q) in enumerate(some):
+            tries = []
+            for s in range(-len(q), len(p)):
+                own = min(len(p), len(q) + s) - max(0, s)
+                ops = sum(p[j] != q[j - s] for j in range(max(0, s), max(0, s) + own))
+                tries += [(ops + len(p) + len(q) - 2 * own, abs(s), s, own, ops)] if own >= 30 else []
+            _, _, s, own, ops = min(tries)
+            assert tuple(x[i] for x in got[:3]) == (s, own, ops)
+
+
+def test_letters_beside_are_judged_as_joined_ones(spark):
+    rows = [(0, "ACGT", "ACGA", "ACGA"), (1, "", "", ""), (2, "AAAA", "aaaa", "ACAA"), (3, "TTTT", "TATA", "TTTA"), (4, "A", "C", "G")]
+    df = spark.createDataFrame(rows, "read_id long, original string, perfect string, now string")
+    of = lambda c: df.select("read_id", F.col(c).alias("sequence"))
+    joined = evaluate.per_read(evaluate.aligned(of("original"), of("perfect"), {"x": of("now"), "y": of("original")}))
+    found = listed(evaluate.beside(df, {"x": "now", "y": "original"}))
+    assert found == listed(joined) and tuple(found[3]) == ("x", 3, 1, 0, 1, 2) and tuple(found[4]) == ("x", 4, 0, 0, 1, 0)
+    with pytest.raises(Exception, match="lengths differ: read 2"):
+        evaluate.beside(df.withColumn("now", F.when(F.col("read_id") == 2, "A").otherwise(F.col("now"))), {"x": "now"}).collect()
