@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixforge.functions import sequence
 from helixforge.operators import forest, kmers, runs
 from helixforge.operators import reads as R
 from helixforge.plans import correction
@@ -73,9 +72,8 @@ def pair_files(spark, sf_dir):
 @query
 def kmer_dump(spark, sf_dir):
     """Canonical k-mers and their counts as a dump and back."""
-    counts = kmers.kmer_counts(plain(spark, sf_dir), OPTIONS.kmer_length)
     path = files.temporary(spark, "kmers")
-    sinks.write_kmers(counts.select(sequence.decode(F.col("code"), OPTIONS.kmer_length).alias("kmer"), F.col("n").alias("count")), path)
+    sinks.dump_kmers(plain(spark, sf_dir), OPTIONS.kmer_length, path)
     return S.read_kmer_dump(spark, path)
 
 

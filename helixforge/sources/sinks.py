@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixforge.operators import kmers as kmers_of
+from helixforge.storage import materialize, release, shuffles_dropped
+
 
 def records(kind: str) -> Column:
     """One record as text.  Headers are written as they were read."""
@@ -30,6 +33,23 @@ def write_kmers(kmers: DataFrame, path: str) -> None:
     kmers.select(F.concat(F.lit(">"), F.col("count").cast("string"), F.lit("\n"), F.col("kmer")).alias("value")).write.text(path)
 
 
+PASSES = 4  #: of dump_kmers; a part of the counts is shuffled at a time
+
+
+def dump_kmers(reads: DataFrame, k: int, path: str) -> None:
+    """The canonical k-mers of reads and their counts as write_kmers has them, as gzip and in ranges that are sorted, so a record
+    takes about 5 bytes instead of 24.  Each pass counts the k-mers of its ranges of codes in all reads."""
+    own = materialize(reads.select("sequence"), "dumped")
+    bounds, _ = kmers_of.range_bounds(own, k)
+    parts = len(bounds) + 1
+    cuts = sorted({i * parts // PASSES for i in range(PASSES + 1)})
+    for first, end in zip(cuts[:-1], cuts[1:]):
+        out = kmers_of.dump_ranges(own, k, bounds, first, end).write.mode("append")
+        with shuffles_dropped(own.sparkSession):
+            out.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    release(own)
+
+
 def write_features(features: DataFrame, path: str, rate: float, seed: int = 42) -> None:
     """Feature rows as text, a sample of them.  Which rows are drawn depends on their values only."""
     columns = [F.col(c).cast("string") for c in features.columns]

@@ -142,3 +142,28 @@ def test_files(spark, tmp_path):
     assert not files.can_open(spark, b) and files.size(spark, c) == 6
     assert files.remove(spark, c) and not files.remove(spark, c)
     assert files.temporary(spark) != files.temporary(spark) and not files.can_open(spark, files.temporary(spark))
+
+
+@pytest.mark.parametrize("k", [5, 20, 32])
+def test_reads_dumped_in_ranges_equal_their_counts(spark, tmp_path, monkeypatch, k):
+    import random
+
+    from helixforge.functions import sequence
+    from helixforge.operators import kmers
+
+    monkeypatch.setattr(kmers, "CHUNK", 700)
+    rng = random.Random(k)
+    rows = [("".join(rng.choice("ACGT") for _ in range(rng.randrange(90))),) for _ in range(60)] + [("A" * 400,), ("T" * 1000 + "N" + "G" * 33,), (None,), ("",), ("ACN",)]
+    df = spark.createDataFrame(rows, "sequence string")
+    assert len(kmers.range_bounds(df, k)[0]) > 3
+    path = str(tmp_path / "dump")
+    sinks.dump_kmers(df, k, path)
+    want = kmers.kmer_counts(df, k).select(sequence.decode(F.col("code"), k).alias("kmer"), F.col("n").alias("count"))
+    assert sorted(map(tuple, S.read_kmer_dump(spark, path).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_empty_and_odd_kmer_dumps(spark, tmp_path):
+    sinks.dump_kmers(spark.createDataFrame([("AC",)], "sequence string"), 5, str(tmp_path / "none"))
+    assert S.read_kmer_dump(spark, str(tmp_path / "none")).collect() == []
+    (tmp_path / "crlf").write_text(">12\r\nacg\r\n>3\r\nTTT\r\n")
+    assert sorted(map(tuple, S.read_kmer_dump(spark, str(tmp_path / "crlf")).collect())) == [("ACG", 12), ("TTT", 3)]
