@@ -106,3 +106,11 @@ def test_letters_beside_are_judged_as_joined_ones(spark):
     assert found == listed(joined) and tuple(found[3]) == ("x", 3, 1, 0, 1, 2) and tuple(found[4]) == ("x", 4, 0, 0, 1, 0)
     with pytest.raises(Exception, match="lengths differ: read 2"):
         evaluate.beside(df.withColumn("now", F.when(F.col("read_id") == 2, "A").otherwise(F.col("now"))), {"x": "now"}).collect()
+
+
+def test_merging_what_stands_equals_merging_all_results(spark, reads):
+    own = reads.withColumn("header", F.lit("x")).withColumn("quality", F.col("sequence"))
+    done = correction.correct(own, BASE)
+    options = replace(BASE, label_quality=True)
+    assert listed(correct.merge(own, done.decided, options)) == listed(correct.merge(own, done.results, options))
+    assert done.decided.count() < reads.count() and done.decided.columns == ["read_id", "sequence", "q"]
