@@ -114,3 +114,9 @@ def test_merging_what_stands_equals_merging_all_results(spark, reads):
     options = replace(BASE, label_quality=True)
     assert listed(correct.merge(own, done.decided, options)) == listed(correct.merge(own, done.results, options))
     assert done.decided.count() < reads.count() and done.decided.columns == ["read_id", "sequence", "q"]
+
+
+def test_print_mode_writes_no_columns(spark, reads):
+    before = len(storage._made)
+    done = correction.correct(reads, replace(BASE, correction_type="print"))
+    assert not done.features.isEmpty() and not any("columns" in p for _, p in storage._made[before:])
