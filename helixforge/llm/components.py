@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, materialize
+from .common import few, join_counted, materialize
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -20,18 +20,20 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return join_counted(down, least, ["a"], total).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """edges: a, b (long; either order, repeats and loops allowed) -> node, component (the smallest node it reaches), for
     every node with an edge to another.  Each round is two equi-joins on nodes and is written down; the rounds grow with
     the logarithm of the longest path.  The neighbours of a node that has very many stay in their tasks; nothing but two
-    numbers a round reaches the driver.  No edges give no rows."""
-    now = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    numbers a round reaches the driver.  No edges give no rows.  most: at least the number of edges, if the caller knows."""
+    edges = edges.select("a", "b").where("a <> b").distinct()
+    now = materialize(edges if most is None else few(edges, most), "edges")
     seen = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
         seen = state
-        large = materialize(_large_star(now, state[0]).where("a <> b").distinct(), "stars")
-        now = materialize(_small_star(large, large.count()).where("a <> b").distinct(), "stars")
+        large = materialize(few(_large_star(now, state[0]).where("a <> b").distinct(), 2 * state[0]), "stars")
+        rows = large.count()
+        now = materialize(few(_small_star(large, rows).where("a <> b").distinct(), 2 * rows), "stars")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as Wd
 from pyspark.sql import functions as F
 
-from .common import join_counted, materialize, ready
+from .common import few, join_counted, materialize, ready
 from .components import components
 
 MOST = 1024
 
+#: Keys that a task compares, at least: those of 2048 fingerprints.
+TASK_KEYS = 1 << 17
+
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """A bit is set if over half of the shingles' hashes have it."""
@@ -88,11 +91,16 @@ def _stars(members: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]
 def link(distinct: DataFrame, bits: int = 2) -> DataFrame:
     """fp (distinct) -> a, b: enough pairs at `bits` differing bits or fewer (two at most) that their closure is that of all
     such pairs.  Rows: 64 keys a fingerprint, sorted within partitions; one key's rows are streamed."""
+    return _links(distinct, bits)[0]
+
+
+def _links(distinct: DataFrame, bits: int) -> tuple[DataFrame, int]:
+    """What link returns, and a number of rows that it has at most."""
     if not 0 <= bits <= 2:
         raise ValueError("bits: 0, 1 or 2")
     ready(distinct.sparkSession)
     keyed = variants(distinct)
-    sorted_keys = keyed.repartition("key").sortWithinPartitions("key", "fp")
+    sorted_keys = few(keyed.repartition("key"), 64 * distinct.count(), TASK_KEYS).sortWithinPartitions("key", "fp")
 
     def run(batches):
         """Runs of equal keys: one star forest each; runs over MOST are passed on whole, as (key, fp)."""
@@ -154,6 +162,8 @@ def link(distinct: DataFrame, bits: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(hot[1]), pa.array(hot[1]), pa.array(hot[0])], names=["a", "b", "key"])
 
     met = materialize(sorted_keys.mapInArrow(run, "a long, b long, key long"), "simhash-met")
+    links, large = met.agg(F.count_if(F.col("key") == -1), F.count_if(F.col("key") >= 0)).first()
+    most = links + 2 * 2016 * large
     edges = met.where("key = -1").select("a", "b").distinct()
     hot = met.where("key >= 0").select(F.col("a").alias("fp")).distinct()
     # the exact way for large runs: all pairs of wildcards, under which at most four fingerprints meet
@@ -163,23 +173,25 @@ def link(distinct: DataFrame, bits: int = 2) -> DataFrame:
     met2 = two.groupBy(i, j, F.col("fp").bitwiseAND(mask).alias("v")).agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     if bits < 2:  # what meets differs in two bits at most
         both = met2.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b")).where("a < b")
-        return edges.unionAll(both.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).distinct())
+        return edges.unionAll(both.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).distinct()), most
     stars = met2.select(F.element_at("fps", 1).alias("a"), F.explode(F.slice("fps", F.lit(2), F.lit(3))).alias("b"))
-    return edges.unionAll(stars.distinct())
+    return edges.unionAll(stars.distinct()), most
 
 
 def near_duplicates(marked: DataFrame, bits: int = 2) -> DataFrame:
     """Output of fingerprints, with doc_id -> doc_id, fp, component_id: the smallest doc_id that links of `bits` bits reach."""
+    marked = materialize(marked, "simhash-docs")
+    every = marked.count()
     own = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("__n"))
-    own = materialize(own, "simhash-distinct")
-    found = components(link(own.select("fp"), bits))
+    own = materialize(few(own, every), "simhash-distinct")
+    distinct = own.count()
+    found = components(*_links(own.select("fp"), bits))
     placed = own.join(found, own["fp"] == found["node"], "left").select("fp", "least", "__n", F.coalesce("component", "fp").alias("component"))
-    placed = materialize(placed, "simhash-placed")
+    placed = materialize(few(placed, 2 * distinct), "simhash-placed")
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("__m"))
-    distinct, every = placed.agg(F.count("*"), F.sum("__n")).first()
     # neither a large component nor a text of many copies meets in one task
     of = join_counted(placed, ids, ["component"], distinct, "__m").select("fp", "__n", "component_id")
-    return join_counted(marked, of, ["fp"], every or 0, "__n").drop("__n")
+    return few(join_counted(marked, of, ["fp"], every, "__n").drop("__n"), every)
 
 
 def keep_one(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame:
